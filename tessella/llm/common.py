@@ -90,7 +90,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
 
 def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """Words `[^\\x20\\x09-\\x0D]+` with A-Z in lower case, one after another, and the offset of each row's first (null: none)."""
-    parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
     flat, ends = parts.flatten(), parts.offsets.to_numpy()
     full = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
     before = np.concatenate(([0], np.cumsum(full)))

@@ -10,7 +10,7 @@ At least one count of 1 keeps a little mass free, so that every probability is p
 the words not seen after v, so that P(. | v) sums to 1 over the vocabulary and the class of other words. Order 2 is fixed: longer
 histories would not fit into four times the input on disk.
 
-How it runs: documents are packed into blocks (an Arrow table of a few million tokens: its distinct word hashes, and tokens as indices), written once. Blocks
+How it runs: documents are packed into blocks (an Arrow table of about a million tokens: its distinct word hashes, and tokens as indices), written once. Blocks
 ask for what they need by key, in two rounds: the counts of their words (dealt by word), then the counts and context sums of their
 bigrams (dealt by context, split by a salt of the next word so that a frequent context is many tasks' work). Answers come back as arrays in the order of
 the question. Each block is then scored by itself, looking up the bigram, then the word. Shuffled volume grows with the tokens, a task's with the block.
@@ -35,7 +35,7 @@ from .common import bucketed, hashes, mix, slices, words_of, written
 #: Counts up to this are discounted.
 K = 5
 #: Tokens after which a block is closed.
-BLOCK_TOKENS = 4_000_000
+BLOCK_TOKENS = 1_500_000
 START, END = "\n", ""  # no word is spelt so
 LOW = np.uint64((1 << 44) - 1)
 BLOCKS = "block string, ids binary, train binary, ends binary, words binary, tokens binary"

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.sources.shared import shared_folder
+
 
 def resolve(references: DataFrame, definitions: DataFrame, most: int = 5) -> DataFrame:
     """(reference, status, candidates, truncated): by qualified name, else by short name in the same directory; ties are ambiguous, never decided.
@@ -74,6 +76,7 @@ def components_strong(nodes: DataFrame, edges: DataFrame, most_rounds: int = 200
     Colouring: the least node that reaches each node spreads forwards; within a colour, what its own node reaches backwards is that
     node's component. Settled nodes leave; rows stay linear in nodes and edges, and each round's lineage is cut.
     """
+    shared_folder(nodes.sparkSession)
     done = None
     left = nodes.select("node").distinct().checkpoint()
     arcs = edges.select("src", "dst").where("src <> dst").distinct().checkpoint()

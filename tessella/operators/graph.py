@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.sources.shared import shared_folder
+
 #: Nodes and edges of a traversal, the scores of a root by how it matched, the factor for a merely containing chunk.
 MOST_NODES, MOST_EDGES = 100, 400
 MATCH_SCORES = {"exact_qualified": 1.0, "exact_name": 0.95, "folded_qualified": 0.9, "folded_name": 0.85}
@@ -29,11 +31,13 @@ def touching(edges: DataFrame, nodes: list, direction: str = "both", kinds: list
 
 def depths(pairs: DataFrame, roots: DataFrame, most: int) -> DataFrame:
     """(root, node, depth): least number of hops along (src, dst) pairs, `most` at most. Each level joins its new nodes only."""
+    shared_folder(pairs.sparkSession)
     found = roots.select(F.col("node").alias("root"), "node", F.lit(0).cast("long").alias("depth"))
     level = found
     for depth in range(1, most + 1):
         ahead = level.join(pairs, level["node"] == pairs["src"]).select("root", F.col("dst").alias("node")).distinct()
-        level = ahead.join(found.select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(depth).cast("long")).checkpoint() if depth < most else ahead.join(found.select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(depth).cast("long"))
+        level = ahead.join(found.select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(depth).cast("long"))
+        level = level.checkpoint() if depth < most else level
         found = found.unionByName(level)
     return found
 

@@ -54,11 +54,13 @@ def classified(files: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
 
 
 def scan(spark: SparkSession, root: str, include: Sequence[str] = (), exclude: Sequence[str] = (), most_bytes: int = MOST_BYTES) -> DataFrame:
-    """Files below a folder of any store: path relative to it, language, and what `classified` tells. Filters come before contents are read."""
+    """Files below a folder of any store: path relative to it, language, and what `classified` tells. Filters come before
+    contents are read; an excluded directory is scanned if an include pattern names it. Spark's reader leaves out files of no bytes."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
     base = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(folder).toString()
     relative = F.substring("path", F.lit(len(base) + 2), F.length("path"))
     kept = rows.select(relative.alias("path"), "content").where(selected(F.col("path"), include, exclude))
-    kept = kept if include else kept.where(~excluded_directory(F.col("path")))
+    named = {part for pattern in include for part in pattern.split("/")}
+    kept = kept.where(~excluded_directory(F.col("path"), [d for d in EXCLUDED if d not in named]))
     return classified(kept, most_bytes).withColumn("language", language_of(F.col("path")))

@@ -27,7 +27,7 @@ def main():
 
 
 def test_scan(spark, tmp_path):
-    for name, content in {"a.py": b"x = 1\n", "b.bin": b"a\0b", "c.txt": b"\xff\xfe", "d.md": b"x" * 50, "node_modules/e.py": b"", "Makefile": "﻿all:".encode()}.items():
+    for name, content in {"a.py": b"x = 1\n", "b.bin": b"a\0b", "c.txt": b"\xff\xfe", "d.md": b"x" * 50, "node_modules/e.py": b"#", "Makefile": "﻿all:".encode()}.items():
         (tmp_path / name).parent.mkdir(exist_ok=True)
         (tmp_path / name).write_bytes(content)
     rows = {r.path: r for r in files.scan(spark, f"file://{tmp_path}", most_bytes=40).collect()}
@@ -35,7 +35,8 @@ def test_scan(spark, tmp_path):
         "a.py": ("read", None, "python"), "b.bin": ("skipped", "binary", "unknown"), "c.txt": ("skipped", "invalid_encoding", "text"), "d.md": ("skipped", "too_large", "markdown"), "Makefile": ("read", None, "makefile"),
     }
     assert rows["Makefile"].text == "all:"
-    assert files.scan(spark, f"file://{tmp_path}", include=["*.py"], exclude=["a*"]).count() == 1
+    paths = lambda **options: sorted(r.path for r in files.scan(spark, f"file://{tmp_path}", **options).select("path").collect())
+    assert paths(include=["*.py"]) == ["a.py"] and paths(include=["*.py"], exclude=["a*"]) == [] and paths(include=["node_modules/*"]) == ["node_modules/e.py"]
 
 
 def test_python_facts(spark):

@@ -322,8 +322,8 @@ def _score(word_buckets: int, buckets: int, frequent: int, model: Words, d: Disc
                     sums[own], seen[own] = unpacked(a["sums"], "<i8").reshape(-1, K), unpacked(a["seen"], "<f8")
                 shared = {x["context"]: x for x in row["frequent"] or []}
                 for i in np.flatnonzero(parts > 1):
-                    x = shared[int(keys[i : i + 1].view(np.int64)[0])]
-                    sums[i], seen[i] = x["sums"], x["seen"]
+                    if x := shared.get(int(keys[i : i + 1].view(np.int64)[0])):  # the end is no context
+                        sums[i], seen[i] = x["sums"], x["seen"]
                 ofcontext = np.append(counts, counts[np.searchsorted(b.words, hashes([END])[0])])
                 alpha, scale = backoff(ofcontext, sums, seen, d)
                 p = np.where(total > 0, d.kept(total) * scale[v] / np.maximum(ofcontext[v], 1), alpha[v] * model.p(counts[w]))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.sources.tables import table
 
-from . import chat, decontam, embedding_dedup, langid, licences, mixing, near_dup, ngram_lm, secrets, warc_zip
+from . import chat, decontam, embedding_dedup, langid, licences, mixing, near_dup, ngram_lm, oracles, secrets, warc_zip
 from .common import crc_mod
 
 #: Labelled documents that language identification learns from, of each language at most; windows of each; bytes of a window.
@@ -69,4 +69,4 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_katz_lm, op2_secret_scan, op3_warc_zip, op4_ngram_jaccard, op5_source_mix, op6_decontaminate, op7_license_scan, op8_language_id, op9_embedding_dedup, op10_chat_format)}
-ORACLES: dict[str, str] = {}
+ORACLES = oracles.ORACLES

@@ -101,7 +101,7 @@ def _spread(values: DataFrame, arcs: DataFrame, most_rounds: int) -> DataFrame:
     for _ in range(most_rounds):
         sent = arcs.join(now, arcs["src"] == now["node"]).where("value IS NOT NULL").groupBy("dst").agg(F.min("value").alias("sent"))
         met = now.join(sent, now["node"] == sent["dst"], "left")
-        after = met.select("node", F.least("value", "sent").alias("value"), (F.col("sent") < F.coalesce("value", F.col("sent") + 1)).alias("changed")).checkpoint()
+        after = met.select("node", F.least("value", "sent").alias("value"), F.coalesce(F.col("sent").isNotNull() & (F.col("value").isNull() | (F.col("sent") < F.col("value"))), F.lit(False)).alias("changed")).checkpoint()
         if after.where("changed").isEmpty():
             return after.drop("changed")
         now = after.drop("changed")

@@ -15,6 +15,8 @@ from .common import written
 
 #: Cells of [0, 1) in which slots and sources meet.
 CELLS = 1024
+#: Sources that are broadcast at most; a row of each has some 60 bytes.
+MOST_BROADCAST = 100_000
 #: 2^32 over the golden ratio: point i is (i * STEP mod 2^32) / 2^32.
 STEP = 2654435769
 
@@ -89,12 +91,15 @@ def mixed(documents: DataFrame, block_words: int = 128, most: int = 3, weights:
     """
     sizes = written(sized(documents), "sizes")
     shares = targets(sizes, weights, most)
-    total = int(shares.agg(F.max("total")).first()[0] or 0)
+    total, n_sources = shares.agg(F.coalesce(F.max("total"), F.lit(0.0)), F.count("*")).first()
+    total = int(total)
     slots = schedule(shares, -(-total // block_words))
     words = slots.groupBy("source").agg(((F.max("rank") + 1) * block_words).alias("words")).withColumnRenamed("source", "of")
     sources = shares.join(words, F.col("source").eqNullSafe(F.col("of")), "left").select(
         F.col("source").alias("from"), "source_size", "target", F.least(F.coalesce("words", F.lit(0)), most * F.col("source_size")).alias("words")
     )
+    if n_sources <= MOST_BROADCAST:  # else the join splits large sources
+        sources = F.broadcast(sources)
     full = F.floor(F.col("words") / F.greatest("source_size", F.lit(1)))
     rest = F.col("words") - full * F.col("source_size")
     taken = full * F.col("size") + F.greatest(F.lit(0), F.least(F.col("at") + F.col("size"), rest) - F.col("at"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.operators import classify, quality
+from tessella.operators import classify, quality, wiki
 from tessella.sources.tables import table
 
 from .registry import query
@@ -104,6 +104,26 @@ def q_views_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.bounded(table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"), [F.desc("n_chars"), "doc_id"], 15)
 
 
+@query("""WITH r AS (SELECT 's' || (doc_id % 5) AS subsection, source || '/' || doc_id AS path FROM documents WHERE doc_id < 30 UNION ALL SELECT 's0', 'gone'),
+h AS (SELECT source || '/' || doc_id AS path, 'hit' || doc_id AS key FROM documents WHERE doc_id % 2 = 0), c AS (SELECT source || '/' || doc_id AS path, 'chunk' || doc_id AS key FROM documents)
+SELECT subsection, path, coalesce(h.key, c.key) AS key, CASE WHEN h.key IS NOT NULL THEN 'ranked' WHEN c.key IS NOT NULL THEN 'fallback' ELSE 'missing' END AS source FROM r LEFT JOIN h USING (path) LEFT JOIN c USING (path)""")
+def q_mandatory_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"))
+    named = lambda prefix: F.concat(F.lit(prefix), F.col("doc_id").cast("string"))
+    required = docs.where("doc_id < 30").select(F.concat(F.lit("s"), (F.col("doc_id") % 5).cast("string")).alias("subsection"), "path").union(spark.range(1).select(F.lit("s0"), F.lit("gone")))
+    hits = docs.where("doc_id % 2 = 0").select("path", named("hit").alias("key"), F.col("doc_id").alias("rank"))
+    return wiki.covered(required, hits, docs.select("path", named("chunk").alias("key"), F.lit(1).alias("start_line")))
+
+
+@query(r"""WITH s AS (SELECT lang AS document, doc_id, regexp_replace(source || ' [' || doc_id || ']', '([\\\[\]`*_<>])', '\\\1', 'g') AS title, 'page-' || sha256(doc_id::VARCHAR) AS a, rtrim(text) AS body FROM documents WHERE doc_id < 40)
+SELECT document, sha256(string_agg('- [' || title || '](#' || a || ')', chr(10) ORDER BY doc_id) || chr(10) || chr(10) || string_agg('<a id="' || a || '"></a>' || chr(10) || chr(10) || '## ' || title || chr(10) || chr(10) || body, chr(10) || chr(10) ORDER BY doc_id) || chr(10)) AS digest FROM s GROUP BY 1""")
+def q_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").where("doc_id < 40")
+    page = F.col("doc_id").cast("string")
+    sections = docs.select(F.col("lang").alias("document"), F.col("doc_id").alias("position"), page.alias("page"), F.concat(F.col("source"), F.lit(" ["), page, F.lit("]")).alias("title"), F.col("text").alias("body"))
+    return wiki.assembled(sections).select("document", F.sha2("markdown", 256).alias("digest"))
+
+
 @query("""SELECT strftime(time_bucket(INTERVAL 10 MINUTES, ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*)::BIGINT AS n, round(sum(value),4) AS total FROM events GROUP BY 1,2""")
 def q_ext_event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extension, not one of the surveyed operators: tumbling windows."""

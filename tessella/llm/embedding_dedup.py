@@ -41,11 +41,12 @@ def directions(dimensions: int, projections: int, seed: int) -> np.ndarray:
 
 def linked(embeddings: DataFrame, cosine: float = 0.93, projections: int = 32, z: float = 2.0, recall: float = 0.9999, block: int = 1024, seed: int = 11) -> DataFrame:
     """(id, n, root): link counts of ids (root null), and pairs (id, root) that connect what the links connect (n 0)."""
-    size = F.size("embedding")
-    squares = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
-    sound = rows.where("vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL").where((size > 0) & ~F.exists("embedding", lambda x: x.isNull())).withColumn("norm2", squares)
-    sound = sound.where((F.col("norm2") > 0) & (F.col("norm2") < float("inf"))).dropDuplicates(["vec_id", "label", "embedding"])
+    sound = rows.where("vec_id IS NOT NULL AND label IS NOT NULL AND size(embedding) > 0").where(~F.exists("embedding", lambda x: x.isNull()))
+    peak = F.array_max(F.transform("embedding", F.abs))  # NaN is the largest
+    sound = sound.withColumn("peak", peak).where((F.col("peak") > 0) & (F.col("peak") < float("inf")))
+    fit = F.when(F.col("peak").between(1e-100, 1e100), F.col("embedding")).otherwise(F.transform("embedding", lambda x: x / F.col("peak")))  # squares stay finite
+    sound = sound.withColumn("embedding", fit).drop("peak").dropDuplicates(["vec_id", "label", "embedding"])
     gap, least = math.sqrt(2 - 2 * cosine), least_collisions(projections, z, recall)
 
     def first(batches):  # noqa: ANN001, ANN202

@@ -11,7 +11,6 @@ an empty table gives none; other columns are ignored.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,7 +23,6 @@ from pyspark.sql import functions as F
 from .common import slices
 
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
 WIDTHS = (2, 3, 4)
 
 
@@ -144,7 +142,7 @@ def _predictor(net: Network | None, kept):  # noqa: ANN001, ANN202
         for batch in slices(batches, "text", 1 << 20):
             texts = pc.fill_null(batch.column("text"), "").to_pylist()
             lang, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
-            known = [i for i, t in enumerate(texts) if net and LETTER.search(t)]
+            known = [i for i, t in enumerate(texts) if net and any(map(str.isalpha, t))]
             if known:
                 data = [texts[i].encode() for i in known]
                 x, n = windows(data, net.window)

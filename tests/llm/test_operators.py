@@ -411,7 +411,7 @@ def test_language_id_held_out(spark):
 
 def test_language_id_odd_texts(spark):
     net = langid.trained([(b"aaaa bbbb " * 10, "x"), (b"yyyy zzzz " * 10, "y")] * 20, 64, epochs=6)
-    rows = [(1, None), (2, ""), (3, "123 !?"), (4, "aaaa bbbb"), (5, "zzzz yyyy " * 5000), (5, "zzzz yyyy " * 5000), (None, "a")]
+    rows = [(1, None), (2, ""), (3, "123 ²½ _!?"), (4, "aaaa bbbb"), (5, "zzzz yyyy " * 5000), (5, "zzzz yyyy " * 5000), (None, "a")]
     got = langid.predicted(docs(spark, rows), net).collect()
     assert {r.doc_id: r.lang_pred for r in got if r.doc_id} == {1: "und", 2: "und", 3: "und", 4: "x", 5: "y"} and len(got) == 7
     assert all(0 <= r.score <= 1 for r in got)
@@ -436,12 +436,13 @@ def test_embeddings_against_all_pairs(spark, block):
     rng = np.random.default_rng(9)
     centres = rng.normal(size=(20, 16))
     rows = [(i, [float(v) for v in centres[i % 20] + rng.normal(size=16) * (0.12 if i % 3 else 0.3)], i % 20 % 3) for i in range(120)]
-    odd = [(200, None, 1), (201, [0.0] * 16, 1), (202, [float("nan")] * 16, 1), (203, rows[0][1], None), (204, [None] * 16, 1), (205, [], 1), (206, [1.0] * 3, 1), (None, rows[1][1], rows[1][2]), (3, rows[3][1], rows[3][2])]
+    odd = [(200, None, 1), (201, [0.0] * 16, 1), (202, [float("nan")] * 16, 1), (203, rows[0][1], None), (204, [None] * 16, 1), (205, [], 1), (206, [1.0] * 3, 1), (207, [1e300, 1e-300] + [0.0] * 14, 5), (208, [2e300] + [0.0] * 15, 5), (None, rows[1][1], rows[1][2]), (3, rows[3][1], rows[3][2])]
     vectors = spark.createDataFrame([(*r, 1, 2) for r in rows + odd], "vec_id long, embedding array<double>, label int, cell int, id int")
     got = embedding_dedup.deduplicated(vectors, block=block).collect()
     unit = {i: np.array(e) / np.linalg.norm(e) for i, e, _ in rows}
     label = {i: x for i, _, x in rows}
     links = [(a, b) for a in unit for b in unit if a < b and label[a] == label[b] and unit[a] @ unit[b] >= 0.93]
+    links.append((207, 208))
     n, component = collections.Counter(x for link in links for x in link), brute_components(links)
     assert len(links) > 30 and len(got) == len(rows) + len(odd)
     for r in got:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.text import tokens
+from tessella.sources.shared import written
 
 #: BM25 saturation and length normalisation, candidates of a channel.
 K1, B, CANDIDATES = 1.2, 0.75, 200
@@ -40,13 +41,15 @@ def query_terms(spark: SparkSession, query: str) -> DataFrame:
 def scores(docs: DataFrame, queries: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(query, key, score, matched): BM25 of every document that shares a term with a query.
 
-    queries: (query, term), terms distinct. Tokens are made in one pass over the texts; only tokens of query terms are counted, and
-    document lengths travel with them.
+    queries: (query, term), terms distinct. One pass over the texts makes tokens, keeps those of query terms and a marker row per
+    document with its length; the rest works on that small table, written once.
     """
     sized = docs.select(key, tokens(F.col(text)).alias("t")).withColumn("dl", F.coalesce(F.size("t"), F.lit(0)).cast("long"))
-    stats = corpus_stats(sized.select("dl"))
-    wanted = queries.select("term").distinct()
-    hits = sized.select(key, "dl", F.explode("t").alias("term")).join(wanted, "term").groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
+    wanted = queries.select("term").distinct().withColumn("asked", F.lit(True))
+    marked = sized.select(key, "dl", F.explode(F.concat(F.coalesce("t", F.array().cast("array<string>")), F.array(F.lit(None).cast("string")))).alias("term"))
+    found = marked.join(wanted, "term", "left").where("asked OR term IS NULL").groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
+    found = written(found, "bm25")
+    stats, hits = corpus_stats(found.where("term IS NULL").select(F.explode(F.array_repeat("dl", F.col("tf").cast("int"))).alias("dl"))), found.where("term IS NOT NULL")
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     weighed = hits.join(df, "term").crossJoin(F.broadcast(stats)).join(queries, "term")
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.operators.ordered import global_rank
 from tessella.sources.shared import shared_folder
 
 
@@ -32,8 +33,8 @@ def importance(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     into = plain.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("fan_in"))
     out = plain.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("fan_out"))
     met = nodes.join(into, "node", "left").join(out, "node", "left").join(bridges, "node", "left").fillna(0, ["fan_in", "fan_out", "bridge"])
-    rank = F.row_number().over(Window.orderBy(F.desc("bridge"), F.desc("fan_in"), F.desc("fan_out"), "node"))
-    return met.select("node", "fan_in", "fan_out", F.col("bridge").cast("long").alias("bridge"), rank.cast("long").alias("rank"))
+    plain_rows = met.select("node", "fan_in", "fan_out", F.col("bridge").cast("long").alias("bridge"))
+    return global_rank(plain_rows, [F.desc("bridge"), F.desc("fan_in"), F.desc("fan_out"), F.asc("node")])
 
 
 def cluster_edges(edges: DataFrame) -> DataFrame:
@@ -138,8 +139,8 @@ def flows(edges: DataFrame, roots: DataFrame, most: int) -> DataFrame:
 
 def tour(stops: DataFrame, budget: int) -> DataFrame:
     """(position, item, tier, next_item): the first `budget` stops by tier, descending weight and name, each with what follows."""
-    order = Window.orderBy("tier", F.desc("weight"), "item")
-    ranked = stops.withColumn("position", F.row_number().over(order).cast("long")).where(F.col("position") <= budget)
+    order = ["tier", F.desc("weight"), "item"]
+    ranked = stops.orderBy(*order).limit(budget).withColumn("position", F.row_number().over(Window.orderBy(*order)).cast("long"))
     return ranked.select("position", "item", "tier", F.lead("item").over(Window.orderBy("position")).alias("next_item"))
 
 

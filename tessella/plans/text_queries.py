@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions.text import glob_regex, stable_id, token_estimate, tokens
 from tessella.operators import chunk
+from tessella.operators.ordered import tree_digest
 from tessella.sources.files import classified, excluded_directory, language_of
 from tessella.sources.tables import table
 
@@ -57,12 +58,17 @@ def q_language_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.groupBy(language_of(F.col("path")).alias("language")).agg(F.count("*").alias("n"))
 
 
-@query("""WITH d AS (SELECT source, doc_id, sha256(text) AS h, strlen(text) AS n FROM documents)
-SELECT source, count(*)::BIGINT AS files, sha256(string_agg(doc_id || ':' || n || ':' || h, ',' ORDER BY doc_id)) AS fingerprint FROM d GROUP BY source""")
+def tree_sql(part: str) -> str:
+    """DuckDB: (source, digest) as tree_digest gives it."""
+    return f"""WITH a AS (SELECT source, doc_id AS k, sha256({part}) AS h FROM documents), b AS (SELECT source, k // 1000 AS k, sha256(string_agg(h, '' ORDER BY k, h)) AS h FROM a GROUP BY 1, a.k // 1000),
+ c AS (SELECT source, k // 1000 AS k, sha256(string_agg(h, '' ORDER BY k, h)) AS h FROM b GROUP BY 1, b.k // 1000) SELECT source, sha256(string_agg(h, '' ORDER BY k, h)) AS digest FROM c GROUP BY 1"""
+
+
+@query(f"SELECT source, files, digest AS fingerprint FROM ({tree_sql("doc_id || ':' || strlen(text) || ':' || sha256(text)")}) JOIN (SELECT source, count(*)::BIGINT AS files FROM documents GROUP BY 1) USING (source)")
 def q_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("source", "doc_id", F.concat_ws(":", F.col("doc_id").cast("string"), F.octet_length("text").cast("string"), F.sha2(F.encode("text", "utf-8"), 256)).alias("part"))
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "part"))), lambda x: x["part"])
-    return rows.groupBy("source").agg(F.count("*").alias("files"), F.sha2(F.array_join(parts, ","), 256).alias("fingerprint"))
+    digests = tree_digest(rows, "source", "doc_id", F.col("part")).withColumnRenamed("digest", "fingerprint")
+    return rows.groupBy("source").agg(F.count("*").alias("files")).join(digests, "source")
 
 
 @query("SELECT doc_id, lang, source, n_chars FROM documents WHERE doc_id > 150 ORDER BY doc_id LIMIT 25")
@@ -130,11 +136,11 @@ def q_default_exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").groupBy(excluded_directory(path, ("en", "node_modules", "dist")).alias("excluded")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT source, count(*)::BIGINT AS chunks, sum(strlen(text))::BIGINT AS bytes, sha256(string_agg(sha256(text), '' ORDER BY doc_id)) AS digest FROM documents GROUP BY source HAVING count(*) > 1")
+@query(f"SELECT source, chunks, bytes, digest FROM ({tree_sql('text')}) JOIN (SELECT source, count(*)::BIGINT AS chunks, sum(strlen(text))::BIGINT AS bytes FROM documents GROUP BY 1) USING (source) WHERE chunks > 1")
 def q_generation_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("source", "doc_id", F.sha2(F.encode("text", "utf-8"), 256).alias("h"), F.octet_length("text").alias("n"))
-    hashes = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "h"))), lambda x: x["h"])
-    return rows.groupBy("source").agg(F.count("*").alias("chunks"), F.sum("n").cast("long").alias("bytes"), F.sha2(F.array_join(hashes, ""), 256).alias("digest")).where("chunks > 1")
+    rows = table(spark, sf_dir, "documents").select("source", "doc_id", "text")
+    counts = rows.groupBy("source").agg(F.count("*").alias("chunks"), F.sum(F.octet_length("text")).cast("long").alias("bytes")).where("chunks > 1")
+    return counts.join(tree_digest(rows, "source", "doc_id", F.col("text")), "source")
 
 
 @query("SELECT o_orderstatus AS status, lead(o_orderkey) OVER (ORDER BY o_orderkey) AS next_key, o_orderkey AS order_key, (row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1)::BIGINT AS ordinal FROM (SELECT * FROM orders WHERE o_orderkey < 500)")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessella.operators import derived, graph
+from tessella.operators import derived, graph, scopes
 from tessella.sources.tables import table
 
 from .registry import query
@@ -180,3 +180,22 @@ def q_tour(spark: SparkSession, sf_dir: str) -> DataFrame:
     regions = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.count("*").alias("weight")).select(F.concat(F.lit("region:"), F.col("n_regionkey").cast("string")).alias("item"), F.lit(1).cast("long").alias("tier"), "weight")
     stops = bridges.union(regions)
     return derived.tour(stops, 12)
+
+
+@query(f"""WITH RECURSIVE {TREE}, w AS (SELECT node, parent AS ancestor, 1 AS distance FROM p UNION ALL SELECT w.node, p.parent, distance+1 FROM w JOIN p ON p.node = w.ancestor),
+a AS (SELECT node, string_agg(ancestor, '<' ORDER BY distance) AS ancestors FROM w GROUP BY 1), r AS (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY node) AS r FROM p),
+f AS (SELECT parent, string_agg(node, ',' ORDER BY node) FILTER (r <= 5) AS anchors, count(*) AS n FROM r GROUP BY 1), s AS (SELECT node AS scope FROM p UNION SELECT parent FROM p),
+o AS (SELECT scope, coalesce(ancestors,'') AS ancestors, coalesce(anchors,'') AS anchors, coalesce(n,0)::BIGINT AS n_anchors FROM s LEFT JOIN a ON a.node = scope LEFT JOIN f ON f.parent = scope)
+SELECT *, sha256(concat_ws('|', scope, ancestors, anchors, n_anchors::VARCHAR)) AS digest FROM o""")
+def q_scope_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scopes.contracts(tree(spark, sf_dir), 3)
+
+
+@query("""WITH a AS (SELECT 'p' || p_partkey AS anchor, p_brand AS path FROM part WHERE p_partkey % 5 = 0), c AS (SELECT 'c' || p_partkey AS chunk, p_brand AS path, p_size AS start_line, CASE WHEN p_partkey % 3 = 0 THEN 'p' || p_partkey END AS symbol FROM part),
+m AS (SELECT anchor, chunk, start_line, CASE WHEN symbol = anchor THEN 0 WHEN symbol IS NOT NULL THEN 1 ELSE 2 END AS r FROM a JOIN c USING (path)), k AS (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY r, start_line, chunk) AS n FROM m)
+SELECT anchor, chunk, ['direct','definition','file'][r+1] AS role FROM k WHERE n = 1""")
+def q_scope_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("path"), F.col("p_size").alias("start_line"))
+    named = lambda x: F.concat(F.lit(x), F.col("p_partkey").cast("string"))
+    chunks = parts.select(named("c").alias("chunk"), "path", "start_line", F.when(F.col("p_partkey") % 3 == 0, named("p")).alias("symbol"))
+    return scopes.representatives(parts.where("p_partkey % 5 = 0").select(named("p").alias("anchor"), "path"), chunks)

@@ -2,44 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of text that one numpy step works on; a longer text is a step of its own.
-SLICE_BYTES = 8 << 20
-
+from tessella.sources.shared import fresh_path, shared_folder, written
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or where that is unset (tests) one of our own."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
-    if not base:
-        found = context._jsc.sc().getCheckpointDir()
-        if found.isEmpty():
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="tessella-"))
-            found = context._jsc.sc().getCheckpointDir()
-        base = found.get()
-    elif context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(base)
-    return base
+__all__ = ["bucketed", "crc_mod", "forest", "fresh_path", "hashes", "mix", "rolling", "shared_folder", "shingle_sets", "slices", "word_hashes", "words_of", "written"]
 
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other run uses and that goes when the session ends."""
-    path = f"{shared_folder(spark)}/tessella-{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return path
+#: Bytes of text that one numpy step works on; a longer text is a step of its own.
+SLICE_BYTES = 8 << 20
 
 
 def bucketed(df: DataFrame, name: str) -> tuple[DataFrame, int]:
@@ -52,30 +30,10 @@ def bucketed(df: DataFrame, name: str) -> tuple[DataFrame, int]:
     buckets = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")))
     df.write.format("parquet").option("path", path).option("compression", "uncompressed").bucketBy(buckets, "block").saveAsTable(table)
     out = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # of an external table the files stay, which is all that `out` needs
     return out, out.count()
 
 
-def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-    """Cut the lineage: write to the shared folder as Parquet and read again."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    with own_shuffles_dropped(spark):
-        df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-@contextmanager
-def own_shuffles_dropped(spark: SparkSession) -> Iterator[None]:
-    """Within it, a write drops the shuffle files that it alone made once it has ended."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches whose texts have about `limit` bytes at most."""
     for batch in batches:

@@ -60,19 +60,19 @@ def q_bounded_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("truncated", F.lit(truncated))
 
 
-@query(f"""WITH RECURSIVE {THIN}, c AS (SELECT least(e.src,e.dst) AS a, greatest(e.src,e.dst) AS b, max(confidence) AS m FROM e JOIN t ON t.src = e.src AND t.dst = e.dst WHERE l_orderkey % 7 = 0 GROUP BY 1,2),
+@query(f"""WITH RECURSIVE {THIN}, c AS (SELECT least(e.src,e.dst) AS a, greatest(e.src,e.dst) AS b, max(confidence) AS m FROM e JOIN t ON t.src = e.src AND t.dst = e.dst GROUP BY 1,2),
 u AS (SELECT a AS src, b AS dst, m FROM c UNION ALL SELECT b, a, m FROM c),
 w AS (SELECT node, base, [node] AS path, 1.0::DOUBLE AS product, 0 AS hops FROM (VALUES (0,1.0::DOUBLE),(5,0.95::DOUBLE)) r(node, base) UNION ALL
  SELECT dst, base, list_append(path, dst), product*m, hops+1 FROM w JOIN u ON u.src = w.node WHERE hops < 2 AND NOT list_contains(path, dst))
 SELECT node, round(max(base*product/(hops+1)),6) AS score, min(hops)::BIGINT AS hops FROM w GROUP BY 1""")
 def q_structural_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     thin = thinned(spark, sf_dir)
-    edges = trade(spark, sf_dir).where("l_orderkey % 7 = 0").join(F.broadcast(thin), ["src", "dst"], "left_semi").select("src", "dst", "confidence")
+    edges = trade(spark, sf_dir).join(F.broadcast(thin), ["src", "dst"], "left_semi").select("src", "dst", "confidence")
     roots = spark.sql("SELECT * FROM VALUES (0, 1.0D), (5, 0.95D) AS r(node, score)")
     return graph.path_scores(edges, roots, 2).select("node", F.round("score", 6).alias("score"), "hops")
 
 
-TREE = """p AS (SELECT 'nation:' || n_nationkey AS node, 'region:' || n_regionkey AS parent FROM nation UNION ALL SELECT 'customer:' || c_custkey, 'nation:' || c_nationkey FROM customer UNION ALL SELECT 'order:' || o_orderkey, 'customer:' || o_custkey FROM orders WHERE o_orderkey < 3000)"""
+TREE = """p AS (SELECT 'nation:' || n_nationkey AS node, 'region:' || n_regionkey AS parent FROM nation UNION ALL SELECT 'customer:' || c_custkey, 'nation:' || c_nationkey FROM customer UNION ALL SELECT 'order:' || o_orderkey, 'customer:' || o_custkey FROM orders)"""
 
 
 def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +80,7 @@ def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c).cast("string"))
     nations = table(spark, sf_dir, "nation").select(named("nation", "n_nationkey").alias("node"), named("region", "n_regionkey").alias("parent"))
     customers = table(spark, sf_dir, "customer").select(named("customer", "c_custkey").alias("node"), named("nation", "c_nationkey").alias("parent"))
-    orders = table(spark, sf_dir, "orders").where("o_orderkey < 3000").select(named("order", "o_orderkey").alias("node"), named("customer", "o_custkey").alias("parent"))
+    orders = table(spark, sf_dir, "orders").select(named("order", "o_orderkey").alias("node"), named("customer", "o_custkey").alias("parent"))
     return nations.union(customers).union(orders)
 
 
@@ -91,14 +91,14 @@ def q_containment_climb(spark: SparkSession, sf_dir: str) -> DataFrame:
     return climbed.groupBy(F.substring_index("ancestor", ":", 1).alias("kind"), "ancestor").agg(F.count("*").alias("below"), F.max("distance").alias("deepest"))
 
 
-@query("""WITH d AS (SELECT p_partkey AS definition, p_type || '.' || p_name AS qualified, p_name AS name, p_brand AS directory FROM part WHERE p_partkey % 3 = 0),
-r AS (SELECT p_partkey AS reference, p_type || '.' || p_name AS qualified, p_name AS name, p_brand AS directory FROM part WHERE p_partkey % 3 = 1),
+@query("""WITH d AS (SELECT p_partkey AS definition, p_type || '.' || p_name AS qualified, p_name AS name, p_brand AS directory FROM part WHERE p_size <= 25),
+r AS (SELECT p_partkey AS reference, p_type || '.' || p_name AS qualified, p_name AS name, p_brand AS directory FROM part),
 a AS (SELECT reference, count(DISTINCT definition) AS n FROM r JOIN d ON r.qualified = d.qualified GROUP BY 1), b AS (SELECT reference, count(DISTINCT definition) AS n FROM r JOIN d ON r.name = d.name AND r.directory = d.directory GROUP BY 1),
 x AS (SELECT r.reference, coalesce(a.n, b.n, 0) AS n FROM r LEFT JOIN a USING (reference) LEFT JOIN b USING (reference))
 SELECT reference, CASE WHEN n = 0 THEN 'unresolved' WHEN n = 1 THEN 'resolved' ELSE 'ambiguous' END AS status, least(n,5)::BIGINT AS candidates, n > 5 AS truncated FROM x""")
 def q_reference_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(".", "p_type", "p_name").alias("qualified"), F.col("p_name").alias("name"), F.col("p_brand").alias("directory"))
-    return derived.resolve(parts.where("p_partkey % 3 = 1").withColumnRenamed("p_partkey", "reference"), parts.where("p_partkey % 3 = 0").withColumnRenamed("p_partkey", "definition"))
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_size", F.concat_ws(".", "p_type", "p_name").alias("qualified"), F.col("p_name").alias("name"), F.col("p_brand").alias("directory"))
+    return derived.resolve(parts.drop("p_size").withColumnRenamed("p_partkey", "reference"), parts.where("p_size <= 25").withColumnRenamed("p_partkey", "definition"))
 
 
 @query(f"""WITH {EDGES}, g AS (SELECT 'nation' AS level, src::VARCHAR AS source, dst::VARCHAR AS target, * FROM e UNION ALL SELECT 'region', a.n_regionkey::VARCHAR, b.n_regionkey::VARCHAR, e.* FROM e JOIN nation a ON a.n_nationkey = src JOIN nation b ON b.n_nationkey = dst)
@@ -140,12 +140,12 @@ def q_cluster_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived.cluster_edges(edges)
 
 
-@query(r"""WITH p AS (SELECT page_id, regexp_replace(url,'^https?://','') AS path FROM pages), r AS (SELECT DISTINCT regexp_extract(path,'^[^/]+') AS root FROM p WHERE page_id % 2 = 0 UNION SELECT DISTINCT regexp_extract(path,'^[^/]+/[^/]+') FROM p WHERE page_id % 3 = 0)
+@query(r"""WITH p AS (SELECT page_id, regexp_replace(url,'^https?://','') AS path FROM pages), r AS (SELECT DISTINCT regexp_extract(path,'^[^/]+') AS root FROM p WHERE path LIKE '%.net/%' UNION SELECT DISTINCT regexp_extract(path,'^[^/]+/[^/]+') FROM p WHERE path LIKE '%/en/%')
 SELECT page_id, path, (SELECT r.root FROM r WHERE p.path = r.root OR starts_with(p.path, r.root || '/') ORDER BY length(r.root) DESC LIMIT 1) AS root FROM p""")
 def q_prefix_root(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", "^https?://", "").alias("path"))
     first, second = F.regexp_extract("path", "^[^/]+", 0), F.regexp_extract("path", "^[^/]+/[^/]+", 0)
-    roots = paths.where("page_id % 2 = 0").select(first.alias("r")).union(paths.where("page_id % 3 = 0").select(second.alias("r"))).distinct()
+    roots = paths.where("path LIKE '%.net/%'").select(first.alias("r")).union(paths.where("path LIKE '%/en/%'").select(second.alias("r"))).distinct()
     return derived.longest_prefix(paths, roots, "path", "r")
 
 
@@ -191,11 +191,11 @@ def q_scope_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scopes.contracts(tree(spark, sf_dir), 3)
 
 
-@query("""WITH a AS (SELECT 'p' || p_partkey AS anchor, p_brand AS path FROM part WHERE p_partkey % 5 = 0), c AS (SELECT 'c' || p_partkey AS chunk, p_brand AS path, p_size AS start_line, CASE WHEN p_partkey % 3 = 0 THEN 'p' || p_partkey END AS symbol FROM part),
+@query("""WITH a AS (SELECT 'p' || p_partkey AS anchor, p_brand AS path FROM part), c AS (SELECT 'c' || p_partkey AS chunk, p_brand AS path, p_size AS start_line, CASE WHEN p_size > 10 THEN 'p' || p_partkey END AS symbol FROM part),
 m AS (SELECT anchor, chunk, start_line, CASE WHEN symbol = anchor THEN 0 WHEN symbol IS NOT NULL THEN 1 ELSE 2 END AS r FROM a JOIN c USING (path)), k AS (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY r, start_line, chunk) AS n FROM m)
 SELECT anchor, chunk, ['direct','definition','file'][r+1] AS role FROM k WHERE n = 1""")
 def q_scope_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("path"), F.col("p_size").alias("start_line"))
     named = lambda x: F.concat(F.lit(x), F.col("p_partkey").cast("string"))
-    chunks = parts.select(named("c").alias("chunk"), "path", "start_line", F.when(F.col("p_partkey") % 3 == 0, named("p")).alias("symbol"))
-    return scopes.representatives(parts.where("p_partkey % 5 = 0").select(named("p").alias("anchor"), "path"), chunks)
+    chunks = parts.select(named("c").alias("chunk"), "path", "start_line", F.when(F.col("start_line") > 10, named("p")).alias("symbol"))
+    return scopes.representatives(parts.select(named("p").alias("anchor"), "path"), chunks)

@@ -11,21 +11,22 @@ from tessella.sources.tables import table
 from .registry import query
 
 
-@query("""WITH p AS (SELECT doc_id, sha256(CASE WHEN doc_id % 10 = 0 THEN text || '!' ELSE text END) AS h FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id + 1000000, '' FROM documents WHERE doc_id % 50 = 1),
+@query("""WITH p AS (SELECT doc_id, sha256(CASE WHEN doc_id % 10 = 0 THEN text || '!' ELSE text END) AS h FROM documents WHERE lang <> 'es' UNION ALL SELECT -1 - doc_id, '' FROM documents WHERE lang = 'de'),
 c AS (SELECT doc_id, sha256(text) AS h FROM documents) SELECT coalesce(c.doc_id, p.doc_id) AS doc_id, CASE WHEN c.doc_id IS NULL THEN 'deleted' WHEN p.doc_id IS NULL THEN 'added' WHEN c.h = p.h THEN 'reused' ELSE 'rebuilt' END AS status FROM c FULL JOIN p USING (doc_id)""")
 def q_incremental_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     changed = F.when(F.col("doc_id") % 10 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
-    before = docs.where("doc_id % 2 = 0").select("doc_id", F.sha2(changed, 256).alias("h")).union(docs.where("doc_id % 50 = 1").select(F.col("doc_id") + 1000000, F.lit("")))
+    before = docs.where("lang <> 'es'").select("doc_id", F.sha2(changed, 256).alias("h")).union(docs.where("lang = 'de'").select(-1 - F.col("doc_id"), F.lit("")))
     return quality.difference(before, docs.select("doc_id", F.sha2("text", 256).alias("h")), "doc_id", "h")
 
 
-@query("""WITH r AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'x' ELSE sha256(text) END AS h, CASE WHEN doc_id % 11 = 0 THEN n_chars + 1 ELSE n_chars END AS n_chars FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id + 1000000, '', 0 FROM documents WHERE doc_id < 20)
+@query("""WITH r AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'x' ELSE sha256(text) END AS h, CASE WHEN doc_id % 11 = 0 THEN n_chars + 1 ELSE n_chars END AS n_chars FROM documents UNION ALL SELECT -1 - doc_id, '', 0 FROM documents WHERE lang = 'de')
 SELECT r.doc_id, d.doc_id IS NULL OR sha256(d.text) <> r.h OR d.n_chars <> r.n_chars AS stale FROM r LEFT JOIN documents d ON d.doc_id = r.doc_id""")
 def q_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    now = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("h"), "n_chars")
-    refs = now.where("doc_id % 3 = 0").select("doc_id", F.when(F.col("doc_id") % 7 == 0, "x").otherwise(F.col("h")).alias("h"), (F.col("n_chars") + F.when(F.col("doc_id") % 11 == 0, 1).otherwise(0)).alias("n_chars"))
-    lost = now.where("doc_id < 20").select((F.col("doc_id") + 1000000).alias("doc_id"), F.lit("").alias("h"), F.lit(0).cast("long").alias("n_chars"))
+    docs = table(spark, sf_dir, "documents")
+    now = docs.select("doc_id", F.sha2("text", 256).alias("h"), "n_chars")
+    refs = now.select("doc_id", F.when(F.col("doc_id") % 7 == 0, "x").otherwise(F.col("h")).alias("h"), (F.col("n_chars") + F.when(F.col("doc_id") % 11 == 0, 1).otherwise(0)).alias("n_chars"))
+    lost = docs.where("lang = 'de'").select((-1 - F.col("doc_id")).alias("doc_id"), F.lit("").alias("h"), F.lit(0).cast("long").alias("n_chars"))
     return quality.freshness(refs.union(lost), now, "doc_id", ["h", "n_chars"])
 
 
@@ -90,12 +91,12 @@ def q_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.transitions(states.groupBy("start", "end").agg(F.count("*").alias("n")), legal, "start", "end")
 
 
-@query("""WITH o AS (SELECT doc_id, lang || ':' || source AS s FROM documents WHERE doc_id < 120), n AS (SELECT doc_id, lang || ':' || CASE WHEN doc_id % 9 = 0 THEN 'moved' ELSE source END AS s FROM documents WHERE doc_id BETWEEN 60 AND 180)
+@query("""WITH o AS (SELECT doc_id, lang || ':' || source AS s FROM documents WHERE lang <> 'es'), n AS (SELECT doc_id, lang || ':' || CASE WHEN doc_id % 9 = 0 THEN 'moved' ELSE source END AS s FROM documents WHERE lang <> 'de')
 SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, CASE WHEN n.doc_id IS NULL THEN 'removed' WHEN o.doc_id IS NULL THEN 'created' WHEN o.s = n.s THEN 'preserved' ELSE 'invalidated' END AS action FROM o FULL JOIN n USING (doc_id)""")
 def q_page_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
-    old = docs.where("doc_id < 120").select("doc_id", F.concat_ws(":", "lang", "source").alias("s"))
-    new = docs.where("doc_id BETWEEN 60 AND 180").select("doc_id", F.concat_ws(":", "lang", F.when(F.col("doc_id") % 9 == 0, "moved").otherwise(F.col("source"))).alias("s"))
+    old = docs.where("lang <> 'es'").select("doc_id", F.concat_ws(":", "lang", "source").alias("s"))
+    new = docs.where("lang <> 'de'").select("doc_id", F.concat_ws(":", "lang", F.when(F.col("doc_id") % 9 == 0, "moved").otherwise(F.col("source"))).alias("s"))
     return quality.merge(old, new, "doc_id", "s")
 
 
@@ -104,23 +105,23 @@ def q_views_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.bounded(table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"), [F.desc("n_chars"), "doc_id"], 15)
 
 
-@query("""WITH r AS (SELECT 's' || (doc_id % 5) AS subsection, source || '/' || doc_id AS path FROM documents WHERE doc_id < 30 UNION ALL SELECT 's0', 'gone'),
-h AS (SELECT source || '/' || doc_id AS path, 'hit' || doc_id AS key FROM documents WHERE doc_id % 2 = 0), c AS (SELECT source || '/' || doc_id AS path, 'chunk' || doc_id AS key FROM documents)
+@query("""WITH r AS (SELECT 's' || lang AS subsection, source || '/' || doc_id AS path FROM documents UNION ALL SELECT 's0', 'gone'),
+h AS (SELECT source || '/' || doc_id AS path, 'hit' || doc_id AS key FROM documents JOIN labels USING (doc_id) WHERE quality = 1), c AS (SELECT source || '/' || doc_id AS path, 'chunk' || doc_id AS key FROM documents WHERE lang <> 'es')
 SELECT subsection, path, coalesce(h.key, c.key) AS key, CASE WHEN h.key IS NOT NULL THEN 'ranked' WHEN c.key IS NOT NULL THEN 'fallback' ELSE 'missing' END AS source FROM r LEFT JOIN h USING (path) LEFT JOIN c USING (path)""")
 def q_mandatory_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"))
     named = lambda prefix: F.concat(F.lit(prefix), F.col("doc_id").cast("string"))
-    required = docs.where("doc_id < 30").select(F.concat(F.lit("s"), (F.col("doc_id") % 5).cast("string")).alias("subsection"), "path").union(spark.range(1).select(F.lit("s0"), F.lit("gone")))
-    hits = docs.where("doc_id % 2 = 0").select("path", named("hit").alias("key"), F.col("doc_id").alias("rank"))
-    return wiki.covered(required, hits, docs.select("path", named("chunk").alias("key"), F.lit(1).alias("start_line")))
+    required = docs.select(F.concat(F.lit("s"), "lang").alias("subsection"), "path").union(spark.range(1).select(F.lit("s0"), F.lit("gone")))
+    good = docs.join(table(spark, sf_dir, "labels").where("quality = 1").select("doc_id"), "doc_id")
+    hits = good.select("path", named("hit").alias("key"), F.col("doc_id").alias("rank"))
+    return wiki.covered(required, hits, docs.where("lang <> 'es'").select("path", named("chunk").alias("key"), F.lit(1).alias("start_line")))
 
 
-@query(r"""WITH s AS (SELECT lang AS document, doc_id, regexp_replace(source || ' [' || doc_id || ']', '([\\\[\]`*_<>])', '\\\1', 'g') AS title, 'page-' || sha256(doc_id::VARCHAR) AS a, rtrim(text) AS body FROM documents WHERE doc_id < 40)
-SELECT document, sha256(string_agg('- [' || title || '](#' || a || ')', chr(10) ORDER BY doc_id) || chr(10) || chr(10) || string_agg('<a id="' || a || '"></a>' || chr(10) || chr(10) || '## ' || title || chr(10) || chr(10) || body, chr(10) || chr(10) ORDER BY doc_id) || chr(10)) AS digest FROM s GROUP BY 1""")
+@query(r"""WITH s AS (SELECT conv_id AS document, turn, regexp_replace(role || ' [' || turn || ']', '([\\\[\]`*_<>])', '\\\1', 'g') AS title, 'page-' || sha256(turn::VARCHAR) AS a, rtrim(text) AS body FROM conversations)
+SELECT document, sha256(string_agg('- [' || title || '](#' || a || ')', chr(10) ORDER BY turn) || chr(10) || chr(10) || string_agg('<a id="' || a || '"></a>' || chr(10) || chr(10) || '## ' || title || chr(10) || chr(10) || body, chr(10) || chr(10) ORDER BY turn) || chr(10)) AS digest FROM s GROUP BY 1""")
 def q_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("doc_id < 40")
-    page = F.col("doc_id").cast("string")
-    sections = docs.select(F.col("lang").alias("document"), F.col("doc_id").alias("position"), page.alias("page"), F.concat(F.col("source"), F.lit(" ["), page, F.lit("]")).alias("title"), F.col("text").alias("body"))
+    rows, page = table(spark, sf_dir, "conversations"), F.col("turn").cast("string")
+    sections = rows.select(F.col("conv_id").alias("document"), F.col("turn").alias("position"), page.alias("page"), F.concat(F.col("role"), F.lit(" ["), page, F.lit("]")).alias("title"), F.col("text").alias("body"))
     return wiki.assembled(sections).select("document", F.sha2("markdown", 256).alias("digest"))
 
 

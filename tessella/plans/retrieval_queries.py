@@ -72,10 +72,10 @@ def q_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector.search(vectors, vectors.where("vec_id = 0").select(F.col("embedding").alias("q")), "vec_id", "embedding", 10)
 
 
-@query("""SELECT CASE WHEN len(embedding) <> 64 THEN 'dimensions' WHEN len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) > 0 THEN 'not finite' WHEN vec_id % 2 = 0 AND label <> 3 THEN 'reused' ELSE 'pending' END AS status, count(*)::BIGINT AS n FROM embeddings GROUP BY 1""")
+@query("""SELECT CASE WHEN len(embedding) <> 64 THEN 'dimensions' WHEN len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) > 0 THEN 'not finite' WHEN label < 6 AND label <> 3 THEN 'reused' ELSE 'pending' END AS status, count(*)::BIGINT AS n FROM embeddings GROUP BY 1""")
 def q_vector_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     now = table(spark, sf_dir, "embeddings").withColumn("content", F.xxhash64("embedding"))
-    before = now.where("vec_id % 2 = 0").withColumn("content", F.when(F.col("label") == 3, F.xxhash64("content")).otherwise(F.col("content")))
+    before = now.where("label < 6").withColumn("content", F.when(F.col("label") == 3, F.xxhash64("content")).otherwise(F.col("content")))
     bad = vector.faults(now, "vec_id", "embedding", 64)
     good = vector.reusable(now.join(bad, "vec_id", "left_anti"), before, "vec_id", "content")
     return good.select("status").union(bad.select("fault")).groupBy("status").agg(F.count("*").alias("n"))
@@ -95,31 +95,31 @@ def q_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fused.select("doc_id", F.round("fused", 9).alias("fused"), "lexical_rank", "vector_rank", reason.alias("reason"))
 
 
-@query(f"""WITH RECURSIVE l AS (SELECT {PATH} AS path, len({LINES}) AS n FROM documents WHERE doc_id < 200 AND text <> ''),
+@query(f"""WITH RECURSIVE l AS (SELECT {PATH} AS path, len({LINES}) AS n FROM documents WHERE text <> ''),
 w AS (SELECT path, unnest(range(1, greatest(n-6,2))) AS a, n FROM l), h AS (SELECT path, a, least(a+7,n) AS b, (a*37)%11 AS s FROM w),
 o AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY -s, a) AS r FROM h),
 f AS (SELECT path, 1 AS r, [{{'a':a,'b':b,'s':s}}] AS kept FROM o WHERE r = 1
  UNION ALL SELECT f.path, o.r, CASE WHEN len(list_filter(kept, lambda k: (least(k.b,o.b)-greatest(k.a,o.a)+1)/(least(k.b-k.a,o.b-o.a)+1) >= 0.8)) > 0 THEN kept ELSE list_append(kept, {{'a':o.a,'b':o.b,'s':o.s}}) END FROM f JOIN o ON o.path = f.path AND o.r = f.r + 1),
 z AS (SELECT path, unnest(arg_max(kept, r)) AS k FROM f GROUP BY path) SELECT path, (-k.s)::BIGINT AS priority, k.a::BIGINT AS start_line, k.b::BIGINT AS end_line FROM z""")
 def q_overlap_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    windows = chunk.window_chunks(files(spark, sf_dir).where("doc_id < 200"), 8, 7)
+    windows = chunk.window_chunks(files(spark, sf_dir), 8, 7)
     hits = windows.select("path", (-((F.col("start_line") * 37) % 11)).cast("long").alias("priority"), F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"))
     return fusion.without_overlaps(hits, "path", ["priority", "start_line"]).select("path", "priority", "start_line", "end_line")
 
 
 def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("n_chars < 6000")
+    docs = table(spark, sf_dir, "documents")
     rank = F.row_number().over(Window.orderBy(F.desc("n_chars"), "doc_id")).cast("long")
     best = docs.select("doc_id", "source", "n_chars", "text").orderBy(F.desc("n_chars"), "doc_id").limit(50).withColumn("rank", rank)
     hits = best.select("rank", F.col("doc_id").cast("string").alias("key"), F.col("source").alias("file"), (token_estimate(F.col("text")) + pack.ITEM_OVERHEAD).alias("cost"), F.sha2("text", 256).alias("content"), F.col("n_chars").cast("double").alias("score"))
-    return pack.pack(hits, 30000 - pack.RESERVED, least_score=4000.0)
+    return pack.pack(hits, 120000 - pack.RESERVED, least_score=9000.0)
 
 
-PACKED = """c AS (SELECT doc_id, source, n_chars, text FROM documents WHERE n_chars < 6000 ORDER BY n_chars DESC, doc_id LIMIT 50),
+PACKED = """c AS (SELECT doc_id, source, n_chars, text FROM documents ORDER BY n_chars DESC, doc_id LIMIT 50),
 r AS (SELECT row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank, doc_id::VARCHAR AS key, source AS file, (strlen(text)+2)//3+24 AS cost, sha256(text) AS content, n_chars AS score FROM c),
 f AS (SELECT 0::BIGINT AS rank, 0::BIGINT AS used, []::VARCHAR[] AS files, []::VARCHAR[] AS contents, '' AS status UNION ALL
  SELECT r.rank, used + CASE WHEN st = 'packed' THEN cost ELSE 0 END, CASE WHEN st = 'packed' THEN list_append(files, file) ELSE files END, CASE WHEN st = 'packed' THEN list_append(contents, content) ELSE contents END, st
- FROM (SELECT r.*, f.used, f.files, f.contents, CASE WHEN list_contains(contents, content) THEN 'duplicate' WHEN score < 4000 THEN 'low_score' WHEN len(list_filter(files, lambda x: x = file)) >= 2 OR used + cost > 29936 THEN 'budget' ELSE 'packed' END AS st FROM f JOIN r ON r.rank = f.rank + 1) r)"""
+ FROM (SELECT r.*, f.used, f.files, f.contents, CASE WHEN list_contains(contents, content) THEN 'duplicate' WHEN score < 9000 THEN 'low_score' WHEN len(list_filter(files, lambda x: x = file)) >= 2 OR used + cost > 119936 THEN 'budget' ELSE 'packed' END AS st FROM f JOIN r ON r.rank = f.rank + 1) r)"""
 
 
 @query(f"WITH RECURSIVE {PACKED} SELECT r.rank::BIGINT AS rank, key, file, cost::BIGINT AS cost, status FROM r JOIN f USING (rank)")

@@ -143,8 +143,7 @@ def q_generation_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.join(tree_digest(rows, "source", "doc_id", F.col("text")), "source")
 
 
-@query("SELECT o_orderstatus AS status, lead(o_orderkey) OVER (ORDER BY o_orderkey) AS next_key, o_orderkey AS order_key, (row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1)::BIGINT AS ordinal FROM (SELECT * FROM orders WHERE o_orderkey < 500)")
+@query("SELECT o_custkey AS customer, o_orderkey AS order_key, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS next_key, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1)::BIGINT AS ordinal FROM orders")
 def q_adjacent_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").where("o_orderkey < 500")
-    ordinal = F.row_number().over(Window.partitionBy("o_orderstatus").orderBy("o_orderkey")) - 1
-    return rows.select(F.col("o_orderstatus").alias("status"), F.lead("o_orderkey").over(Window.orderBy("o_orderkey")).alias("next_key"), F.col("o_orderkey").alias("order_key"), ordinal.cast("long").alias("ordinal"))
+    order = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("customer"), F.col("o_orderkey").alias("order_key"), F.lead("o_orderkey").over(order).alias("next_key"), (F.row_number().over(order) - 1).cast("long").alias("ordinal"))

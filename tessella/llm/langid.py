@@ -113,11 +113,12 @@ def trained(rows: list[tuple[bytes, str]], window: int, filters: int = 8, epochs
 def sampled(labelled: DataFrame, per_language: int, spots: int, window: int) -> list[tuple[bytes, str]]:
     """At most per_language * spots windows of each language: of the documents whose ids hash lowest, those at evenly spread places."""
     salts = 64
-    rank = F.row_number().over(Window.partitionBy("lang", F.pmod(F.col("h"), F.lit(salts))).orderBy("h", "text"))
+    rank = F.row_number().over(Window.partitionBy("lang", F.pmod(F.col("h"), F.lit(salts))).orderBy("h", "pieces"))
     n = F.length("text")
     spot = lambda i: F.substring("text", (F.greatest(n - window, F.lit(0)) * (i / max(1, spots - 1))).cast("int") + 1, F.lit(window))
-    few = labelled.where("text IS NOT NULL AND lang IS NOT NULL AND text RLIKE '\\\\p{L}'").select("lang", "text", F.xxhash64("doc_id").alias("h")).withColumn("rank", rank).where(F.col("rank") <= max(1, per_language // salts))
-    rows = few.select("lang", "h", F.explode(F.array_distinct(F.array(*map(spot, range(spots))))).alias("t")).orderBy("h", "t").collect()
+    cut = labelled.where("text IS NOT NULL AND lang IS NOT NULL AND text RLIKE '\\\\p{L}'").select("lang", F.xxhash64("doc_id").alias("h"), F.array_distinct(F.array(*map(spot, range(spots)))).alias("pieces"))
+    few = cut.withColumn("rank", rank).where(F.col("rank") <= max(1, per_language // salts))
+    rows = few.select("lang", "h", F.explode("pieces").alias("t")).orderBy("h", "t").collect()
     return [(r.t.encode(), r.lang) for r in rows]
 
 

@@ -93,17 +93,56 @@ def _hashes(words: list[int], marked: list[bool], length: int) -> Iterator[tuple
 def matched(documents: DataFrame, benchmark: DataFrame, least: int = 5, threshold: float = 0.6) -> DataFrame:
     """(doc_id, item_id, coverage, tiles, longest) of the pairs whose coverage reaches the threshold."""
     docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text IS NOT NULL")
-    parts = 1 + int(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES
     out = None
-    for part in range(parts):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).collect()
-        more = docs.mapInArrow(_tiler([(r.item_id, r.text) for r in rows], least, threshold), MATCHES)
+    for items in _parts(benchmark):
+        more = docs.mapInArrow(_matches(items, least, threshold), MATCHES)
         out = more if out is None else out.unionByName(more)
     return out
 
 
+def cleaned(documents: DataFrame, benchmark: DataFrame, least: int = 5, threshold: float = 0.6) -> DataFrame:
+    """The rows, with all their columns, of documents that match no item. Each part of the items is one pass, and no row is shuffled."""
+    for items in _parts(benchmark):
+        documents = documents.mapInArrow(_clean(items, least, threshold), documents.schema)
+    return documents
+
+
+def _parts(benchmark: DataFrame) -> Iterator[list[tuple]]:
+    """The items' ids and texts in lists of about PART_BYTES of text; one empty list if there are none."""
+    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text IS NOT NULL")
+    parts = 1 + int(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES
+    for part in range(parts):
+        yield [(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).collect()]
+
+
+def _matches(rows: list[tuple], least: int, threshold: float):  # noqa: ANN202
+    search = _tiler(rows, least, threshold)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            ids = batch.column("doc_id")
+            out = [(ids[d].as_py(), *x) for d, *x in search(batch.column("text"))]
+            columns = list(zip(*out, strict=True)) or [()] * 5
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "item_id", "coverage", "tiles", "longest"])
+
+    return run
+
+
+def _clean(rows: list[tuple], least: int, threshold: float):  # noqa: ANN202
+    search = _tiler(rows, least, threshold)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            keep = np.ones(batch.num_rows, bool)
+            keep[[d for d, *_ in search(batch.column("text"))]] = False
+            yield batch.filter(pa.array(keep))
+
+    return run
+
+
 def _tiler(rows: list[tuple], least: int, threshold: float):  # noqa: ANN202
+    """A function from texts to (row, item id, coverage, tiles, longest tile) of all matches."""
     hashed, at = word_hashes(pa.array([t for _, t in rows], pa.string())) if rows else (np.zeros(0, np.uint64), np.zeros(1, int))
     items = [(i, hashed[a:b]) for (i, _), a, b in zip(rows, at[:-1], at[1:], strict=True) if b > a]
     by_length: dict[int, list[int]] = defaultdict(list)
@@ -116,33 +155,28 @@ def _tiler(rows: list[tuple], least: int, threshold: float):  # noqa: ANN202
         order = np.argsort(seed, kind="stable")
         seeds[k] = seed[order], owner[order]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            words, at = word_hashes(batch.column("text"))
-            ids, out = batch.column("doc_id"), []
-            near: dict[tuple[int, int], list[int]] = defaultdict(list)
-            for k, (seed, owner) in seeds.items():
-                grams = rolling(words, k)
-                lo = np.searchsorted(seed, grams)
-                hit = np.flatnonzero(seed[np.minimum(lo, len(seed) - 1)] == grams) if len(grams) else np.zeros(0, int)
-                doc = np.searchsorted(at, hit, side="right") - 1
-                hit, doc = hit[hit + k <= at[doc + 1]], doc[hit + k <= at[doc + 1]]  # grams within one document
-                hi = np.searchsorted(seed, grams[hit], side="right")
-                for p, d, a, b in zip(hit.tolist(), doc.tolist(), lo[hit].tolist(), hi.tolist(), strict=True):
-                    for n in set(owner[a:b].tolist()):
-                        near[d, n].append(p - int(at[d]))
-            for (d, n), places in sorted(near.items()):
-                item_id, item = items[n]
-                least_own = min(least, len(item))
-                runs = 1 + sum(q > p + 1 for p, q in zip(places, places[1:], strict=False))
-                if len(places) + runs * (least_own - 1) < threshold * len(item):  # more words than all matches together can cover
-                    continue
-                found = tiles(item.tolist(), words[at[d] : at[d + 1]].tolist(), least_own, places)
-                coverage = sum(x[2] for x in found) / len(item)
-                if coverage >= threshold:
-                    out.append((ids[d].as_py(), item_id, coverage, len(found), max(x[2] for x in found)))
-            columns = list(zip(*out, strict=True)) or [()] * 5
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "item_id", "coverage", "tiles", "longest"])
-
-    return run
+    def search(texts: pa.Array) -> Iterator[tuple]:
+        words, at = word_hashes(texts)
+        near: dict[tuple[int, int], list[int]] = defaultdict(list)
+        for k, (seed, owner) in seeds.items():
+            grams = rolling(words, k)
+            lo = np.searchsorted(seed, grams)
+            hit = np.flatnonzero(seed[np.minimum(lo, len(seed) - 1)] == grams) if len(grams) else np.zeros(0, int)
+            doc = np.searchsorted(at, hit, side="right") - 1
+            hit, doc = hit[hit + k <= at[doc + 1]], doc[hit + k <= at[doc + 1]]  # grams within one document
+            hi = np.searchsorted(seed, grams[hit], side="right")
+            for p, d, a, b in zip(hit.tolist(), doc.tolist(), lo[hit].tolist(), hi.tolist(), strict=True):
+                for n in set(owner[a:b].tolist()):
+                    near[d, n].append(p - int(at[d]))
+        for (d, n), places in sorted(near.items()):
+            item_id, item = items[n]
+            least_own = min(least, len(item))
+            runs = 1 + sum(q > p + 1 for p, q in zip(places, places[1:], strict=False))
+            if len(places) + runs * (least_own - 1) < threshold * len(item):  # more words than all matches together can cover
+                continue
+            found = tiles(item.tolist(), words[at[d] : at[d + 1]].tolist(), least_own, places)
+            coverage = sum(x[2] for x in found) / len(item)
+            if coverage >= threshold:
+                yield d, item_id, coverage, len(found), max(x[2] for x in found)
+
+    return search

@@ -379,6 +379,9 @@ def test_decontamination(spark):
     items = spark.createDataFrame([(10, item, 1), (11, None, 1), (12, "", 1), (13, "Short one", 1), (14, item, 1)], "item_id long, text string, coverage int")
     got = {(r.doc_id, r.item_id): r.coverage for r in decontam.matched(docs(spark, rows), items).collect()}
     assert got == {(d, i): 1.0 for d in (1, 2, 6, None) for i in (10, 14)} | {(8, 13): 1.0}
+    clean = decontam.cleaned(docs(spark, rows), items)
+    assert clean.columns == docs(spark, rows).columns and sorted(r.doc_id for r in clean.collect()) == [3, 4, 5, 7]
+    assert decontam.cleaned(docs(spark, rows), items.limit(0)).count() == len(rows)
     assert decontam.matched(docs(spark, rows).limit(0), items).count() == 0 and decontam.matched(docs(spark, rows), items.limit(0)).count() == 0
 
 

@@ -4,22 +4,35 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.sources.shared import fresh_path, shared_folder, written
 
-__all__ = ["bucketed", "crc_mod", "forest", "fresh_path", "hashes", "mix", "rolling", "shared_folder", "shingle_sets", "slices", "word_hashes", "words_of", "written"]
+__all__ = ["arrow_rows", "bucketed", "crc_mod", "forest", "fresh_path", "hashes", "mix", "rolling", "shared_folder", "shingle_sets", "slices", "word_hashes", "words_of", "written"]
 
 #: Bytes of text that one numpy step works on; a longer text is a step of its own.
 SLICE_BYTES = 8 << 20
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, n: int) -> Iterator[None]:
+    """Within it, jobs send n rows at most to a Python worker at once: for rows that are large themselves."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def bucketed(df: DataFrame, name: str) -> tuple[DataFrame, int]:
     """Write a table of large rows bucketed by its column `block`, without a shuffle; the table and its number of rows.
 

@@ -30,14 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucketed, hashes, mix, slices, words_of, written
+from .common import arrow_rows, bucketed, hashes, mix, slices, words_of, written
 
 #: Counts up to this are discounted.
 K = 5
 #: Tokens after which a block is closed.
-BLOCK_TOKENS = 1_500_000
+BLOCK_TOKENS = 1_000_000
 START, END = "\n", ""  # no word is spelt so
-LOW = np.uint64((1 << 44) - 1)
 BLOCKS = "block string, ids binary, train binary, ends binary, words binary, tokens binary"
 NO_ID = -(2**63)
 
@@ -125,7 +124,7 @@ class Block:
 
     def by_context(self, codes: np.ndarray, counts: np.ndarray, buckets: int, frequent: int) -> tuple:
         """(context index, word index, order by bucket, starts): distinct bigrams' places. A context of more than `frequent` tokens is several, by its next word."""
-        v, w = (codes >> np.uint64(32)).astype(np.int64), (codes & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        v, w = (codes >> np.uint64(32)).astype(np.int32), (codes & np.uint64(0xFFFFFFFF)).astype(np.int32)
         keys = np.append(self.words, hashes([START]))
         end = counts[np.searchsorted(self.words, hashes([END])[0])]  # as many starts as ends
         parts = np.append(counts, end) // frequent + 1
@@ -226,7 +225,7 @@ def _ask_bigrams(word_buckets: int, buckets: int, frequent: int):  # noqa: ANN20
                 first = np.flatnonzero(np.concatenate(([True], codes[1:] >> np.uint64(1) != codes[:-1] >> np.uint64(1))))
                 train = np.add.reduceat((codes & np.uint64(1)).astype(np.int64), first)
                 v, w, order, starts, keys, parts = b.by_context(codes[first] >> np.uint64(1), counts, buckets, frequent)
-                low, out = mix(b.words) & LOW, []
+                low, out = b.words >> np.uint64(20), []  # rises with the word's index, so runs compress
                 for i, (lo, hi) in enumerate(zip(starts[:-1], starts[1:], strict=True)):
                     if hi > lo:
                         at = order[lo:hi]
@@ -266,7 +265,9 @@ def _answer_bigrams(model: Words):  # noqa: ANN202
         rows, lo, clo = [], 0, 0
         for block, c, s in zip(table["block"].to_pylist(), blobs[0], blobs[1], strict=True):
             n, at = int(s.sum()), context[clo : clo + len(c)]
-            rows.append(("answer", bucket, block, None, None, None, packed(total[index[lo : lo + n]]), packed(sums[at].reshape(-1)), packed(seen[at]), None))
+            found = total[index[lo : lo + n]]
+            backs_off = np.add.reduceat(found == 0, np.cumsum(s, dtype=np.int64) - s) > 0  # only there the block needs alpha
+            rows.append(("answer", bucket, block, None, None, None, packed(found), packed(sums[at].reshape(-1)), packed(np.where(backs_off, seen[at], 0.0)), None))
             lo, clo = lo + n, clo + len(c)
         pv, ns = pv[own], ns[first][own]
         at = _firsts(pv) if len(pv) else np.zeros(0, np.int64)
@@ -326,10 +327,10 @@ def _score(word_buckets: int, buckets: int, frequent: int, model: Words, d: Disc
                         sums[i], seen[i] = x["sums"], x["seen"]
                 ofcontext = np.append(counts, counts[np.searchsorted(b.words, hashes([END])[0])])
                 alpha, scale = backoff(ofcontext, sums, seen, d)
-                p = np.where(total > 0, d.kept(total) * scale[v] / np.maximum(ofcontext[v], 1), alpha[v] * model.p(counts[w]))
-                of = counts[b.tokens]
-                values = (np.ones(len(of), np.int64), (of > 0).astype(np.int64), model.base(of), np.log10(p)[index])
-                out = [np.add.reduceat(x, b.starts) for x in values]
+                p = alpha[v] * model.p(counts)[w]
+                own = np.flatnonzero(total)
+                p[own] = d.kept(total[own]) * scale[v[own]] / ofcontext[v[own]]
+                out = [np.diff(b.ends, prepend=0), np.add.reduceat((counts > 0).astype(np.int64)[b.tokens], b.starts), np.add.reduceat(model.base(counts)[b.tokens], b.starts), np.add.reduceat(np.log10(p)[index], b.starts)]
                 yield pa.RecordBatch.from_arrays([pa.array(b.ids), *map(pa.array, out)], [x.split()[0] for x in SCORES.split(", ")])
 
     return run
@@ -353,8 +354,13 @@ def scored(documents: DataFrame, held_out, frequent: int = 200_000) -> tuple[Dat
     """
     spark = documents.sparkSession
     rows = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.col("text").cast("string"), (~F.coalesce(held_out, F.lit(False))).alias("train"))
-    blocks, n = bucketed(rows.mapInArrow(_pack, BLOCKS), "lm_blocks")
-    buckets = max(12, 2 * n)
+    with arrow_rows(spark, 2000):
+        blocks, n = bucketed(rows.mapInArrow(_pack, BLOCKS), "lm_blocks")
+    with arrow_rows(spark, 1):  # a row is a block, or a bucket's part of one
+        return _scored(blocks, max(12, 2 * n), frequent)
+
+
+def _scored(blocks: DataFrame, buckets: int, frequent: int) -> tuple[DataFrame, dict]:
     asked = blocks.mapInArrow(_ask_words(buckets), ASK1)
     words = written(asked.groupBy("bucket").applyInArrow(_answer_words, TABLE1), "lm-words", "kind")
     of = words.where("kind = 'word'").agg(F.sum("total").alias("total"), F.sum("distinct").alias("distinct"), *(F.sum(F.col("n")[r]).alias(f"n{r}") for r in range(K + 1))).first()
@@ -370,5 +376,5 @@ def scored(documents: DataFrame, held_out, frequent: int = 200_000) -> tuple[Dat
     few = _gathered(wanted.join(contexts, "context"), "frequent", "context", "sums", "seen")
     pairs = _gathered(bigrams.where("kind = 'answer'"), "bigrams", "bucket", "counts", "sums", "seen")
     scores = _with(blocks, answers, pairs, few).mapInArrow(_score(buckets, buckets, frequent, model, d), SCORES)
-    out = scores.groupBy("id").agg(*(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")))
+    out = written(scores, "lm-scores").groupBy("id").agg(*(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")))
     return out.withColumn("id", F.when(F.col("id") != NO_ID, F.col("id"))), {"words": words, "bigrams": bigrams, "totals": model, "discounts": d}

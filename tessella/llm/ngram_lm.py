@@ -1,21 +1,21 @@
-"""Katz backoff language model of order 2: Good-Turing discounted counts, exactly normalised backoff weights.
+"""Katz backoff language model of any order: Good-Turing discounted counts, exactly normalised backoff weights.
 
-    P(w | v) = d(c(v,w)) c(v,w) / c(v)      if the bigram was seen in training
-               alpha(v) P(w)                otherwise; alpha = 1 for a context that was not seen
+    P(w | h) = d(c(h,w)) c(h,w) / c(h)      if the n-gram was seen in training; h: the words before, order - 1 of them at first
+               alpha(h) P(w | h')           otherwise; h': h without its first word; alpha = 1 for a context that was not seen
     P(w)     = d(c(w)) c(w) / N             if the word was seen
                the mass that discounting freed, for the one class of all other words
 
-d(r) discounts counts of 1 to K by Good-Turing (Katz 1987) and is 1 above, and where the counts of counts don't give a ratio in (0, 1].
-At least one count of 1 keeps a little mass free, so that every probability is positive. alpha(v) spreads what v's discounts freed over
-the words not seen after v, so that P(. | v) sums to 1 over the vocabulary and the class of other words. Order 2 is fixed: longer
-histories would not fit into four times the input on disk.
+d(r) discounts counts of 1 to K by Good-Turing (Katz 1987), by level, and is 1 above, and where the counts of counts don't give a ratio in (0, 1].
+At least one count of 1 keeps a little mass free, so that every probability is positive. alpha(h) spreads what h's discounts freed over
+the words not seen after h, so that P(. | h) sums to 1 over the vocabulary and the class of other words. Documents start with order - 1 starts.
 
 How it runs: documents are packed into blocks (an Arrow table of about a million tokens: its distinct word hashes, and tokens as indices), written once. Blocks
-ask for what they need by key, in two rounds: the counts of their words (dealt by word), then the counts and context sums of their
-bigrams (dealt by context, split by a salt of the next word so that a frequent context is many tasks' work). Answers come back as arrays in the order of
-the question. Each block is then scored by itself, looking up the bigram, then the word. Shuffled volume grows with the tokens, a task's with the block.
+ask for what they need by key, in a round for each level: the counts of their words (dealt by word), then the counts and context sums of their
+bigrams, trigrams and so on (dealt by context, split by a salt of the next word so that a frequent context is many tasks' work). A question brings the
+probability of each n-gram's word after the shorter history, which the answers of the level below gave. Answers come back as arrays in the order of
+the question. Each block is then scored by itself, level by level. Shuffled volume grows with the tokens and the order, a task's with the block.
 
-Words are identified by 64-bit hashes, the next word within a context by 44 bits. Rows of one doc_id make one document (their sums are
+Words and contexts are identified by 64-bit hashes, the next word within a context by 44 bits. Rows of one doc_id make one document (their sums are
 added); null ids are one document; a null text is empty and has the end token alone. An empty table gives no rows; without any training
 text every word is unknown. Other columns are ignored.
 """
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,7 @@ K = 5
 #: Tokens after which a block is closed.
 BLOCK_TOKENS = 1_000_000
 START, END = "\n", ""  # no word is spelt so
+GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 BLOCKS = "block string, ids binary, train binary, ends binary, words binary, tokens binary"
 NO_ID = -(2**63)
 
@@ -115,22 +117,31 @@ class Block:
         """An order of the words by bucket, and where each bucket starts in it."""
         return dealt(mix(self.words), buckets)
 
-    def bigrams(self) -> np.ndarray:
-        """A code of each token's bigram: index of the word before (the number of words: none), index of the word."""
-        before = np.empty(len(self.tokens), np.uint64)
-        before[1:] = self.tokens[:-1]
-        before[self.starts] = len(self.words)
-        return before << np.uint64(32) | self.tokens
+    def grams(self, before: np.ndarray, n: int) -> np.ndarray:
+        """A code of each token's n-gram: index of the shorter n-gram that ends before it (n, their number: only starts), index of the word."""
+        context = np.empty(len(self.tokens), np.uint64)
+        context[1:] = before[:-1]
+        context[self.starts] = n
+        return context << np.uint64(32) | self.tokens
 
-    def by_context(self, codes: np.ndarray, counts: np.ndarray, buckets: int, frequent: int) -> tuple:
-        """(context index, word index, order by bucket, starts): distinct bigrams' places. A context of more than `frequent` tokens is several, by its next word."""
+    def by_context(self, codes: np.ndarray, below: "Level", buckets: int, frequent: int) -> tuple:
+        """(context index, word index, order by bucket, starts, parts): distinct n-grams' places. A context of more than `frequent` tokens is several, by its next word."""
         v, w = (codes >> np.uint64(32)).astype(np.int32), (codes & np.uint64(0xFFFFFFFF)).astype(np.int32)
-        keys = np.append(self.words, hashes([START]))
-        end = counts[np.searchsorted(self.words, hashes([END])[0])]  # as many starts as ends
-        parts = np.append(counts, end) // frequent + 1
+        parts = below.ofcontext // frequent + 1
         salt = mix(self.words)[w] % parts[v].astype(np.uint64)
-        order, starts = dealt(mix(keys[v] + salt * np.uint64(0x9E3779B97F4A7C15)), buckets)
-        return v, w, order, starts, keys, parts
+        order, starts = dealt(mix(below.keys[v] + salt * GOLDEN), buckets)
+        return v, w, order, starts, parts
+
+
+@dataclass
+class Level:
+    """A block's n-grams of one length: each token's (index), their training counts and probabilities. keys, ofcontext: of the n-grams as contexts, the last of starts only."""
+
+    index: np.ndarray
+    counts: np.ndarray
+    p: np.ndarray
+    keys: np.ndarray
+    ofcontext: np.ndarray
 
 
 def dealt(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -173,7 +184,7 @@ def _rows(names: str, rows: list[tuple]) -> pa.RecordBatch:
 
 ASK1 = "bucket int, block string, words binary, counts binary"
 TABLE1 = "kind string, bucket int, block string, words binary, counts binary, n array<long>, total long, distinct long"
-ASK2 = "bucket int, block string, contexts binary, sizes binary, nexts binary, ofnext binary, counts binary, shared binary"
+ASK2 = "bucket int, block string, contexts binary, sizes binary, nexts binary, lower binary, counts binary, shared binary"
 TABLE2 = "kind string, bucket int, block string, contexts binary, sizes binary, nexts binary, counts binary, sums binary, seen binary, n array<long>"
 
 
@@ -215,23 +226,74 @@ def _counts_of(b: Block, answers: list[dict], buckets: int) -> np.ndarray:
     return counts
 
 
-def _ask_bigrams(word_buckets: int, buckets: int, frequent: int):  # noqa: ANN202
+@dataclass
+class Known:
+    """What is known of the levels below the next one: the words' model and the discounts of the longer n-grams, whose rounds have been answered."""
+
+    word_buckets: int
+    frequent: int
+    model: Words
+    discounts: list[Discounts]
+
+    def buckets(self, n: int) -> int:
+        """Longer n-grams are more of them."""
+        return self.word_buckets * (n - 1)
+
+    def level(self, b: Block, row: dict) -> Level:
+        """The block's n-grams of the longest length known."""
+        counts = _counts_of(b, row["answers"], self.word_buckets)
+        end = counts[np.searchsorted(b.words, hashes([END])[0])]  # as many starts as ends
+        out = Level(b.tokens, counts, self.model.p(counts), np.append(b.words, hashes([START])), np.append(counts, end))
+        for n, d in enumerate(self.discounts, 2):
+            out = self._longer(b, out, row[f"grams{n}"] or [], row[f"frequent{n}"] or [], self.buckets(n), d)
+        return out
+
+    def _longer(self, b: Block, below: Level, answers: list[dict], frequent: list[dict], buckets: int, d: Discounts) -> Level:
+        codes, index = np.unique(b.grams(below.index, len(below.counts)), return_inverse=True)
+        v, w, order, starts, parts = b.by_context(codes, below, buckets, self.frequent)
+        total, sums, seen = np.zeros(len(codes), np.int64), np.zeros((len(below.keys), K), np.int64), np.zeros(len(below.keys))
+        for a in answers:
+            at = order[starts[a["bucket"]] : starts[a["bucket"] + 1]]
+            total[at] = unpacked(a["counts"], "<i8")
+            own = v[at[_firsts(v[at])]]
+            sums[own], seen[own] = unpacked(a["sums"], "<i8").reshape(-1, K), unpacked(a["seen"], "<f8")
+        shared = {x["context"]: x for x in frequent}
+        for i in np.flatnonzero(parts > 1):
+            if x := shared.get(int(below.keys[i : i + 1].view(np.int64)[0])):  # the end is no context
+                sums[i], seen[i] = x["sums"], x["seen"]
+        alpha, scale = backoff(below.ofcontext, sums, seen, d)
+        p = np.empty(len(codes))
+        p[index] = below.p[below.index]
+        p *= alpha[v]
+        own = np.flatnonzero(total)
+        p[own] = d.kept(total[own]) * scale[v[own]] / below.ofcontext[v[own]]
+        with np.errstate(over="ignore"):
+            keys = mix(below.keys[np.append(v, -1)] * GOLDEN + mix(np.append(b.words[w], hashes([START]))))
+        return Level(index, total, p, keys, np.append(total, below.ofcontext[-1]))
+
+
+def _ask_grams(known: Known):  # noqa: ANN202
+    n = len(known.discounts) + 2
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 b = Block(row)
-                counts = _counts_of(b, row["answers"], word_buckets)
-                codes = np.sort(b.bigrams() << np.uint64(1) | b.trained)
-                first = np.flatnonzero(np.concatenate(([True], codes[1:] >> np.uint64(1) != codes[:-1] >> np.uint64(1))))
-                train = np.add.reduceat((codes & np.uint64(1)).astype(np.int64), first)
-                v, w, order, starts, keys, parts = b.by_context(codes[first] >> np.uint64(1), counts, buckets, frequent)
+                below = known.level(b, row)
+                codes = b.grams(below.index, len(below.counts))
+                by = np.argsort(codes, kind="stable")
+                first = _firsts(codes[by])
+                train = np.add.reduceat(b.trained[by].astype(np.int64), first)
+                at = below.index[by[first]]
+                lower = below.counts[at] if n == 2 else np.where(train > 0, below.p[at], 0.0)  # of a word its count says as much
+                v, w, order, starts, parts = b.by_context(codes[by[first]], below, known.buckets(n), known.frequent)
                 low, out = b.words >> np.uint64(20), []  # rises with the word's index, so runs compress
                 for i, (lo, hi) in enumerate(zip(starts[:-1], starts[1:], strict=True)):
                     if hi > lo:
                         at = order[lo:hi]
                         new = _firsts(v[at])
                         own = v[at[new]]
-                        out.append((i, row["block"], packed(keys[own]), packed(np.diff(np.append(new, len(at))).astype("<u4")), packed(low[w[at]]), packed(counts[w[at]]), packed(train[at]), packed((parts[own] > 1).astype("u1"))))
+                        out.append((i, row["block"], packed(below.keys[own]), packed(np.diff(np.append(new, len(at))).astype("<u4")), packed(low[w[at]]), packed(lower[at]), packed(train[at]), packed((parts[own] > 1).astype("u1"))))
                 yield _rows(ASK2, out)
 
     return run
@@ -242,11 +304,13 @@ def _firsts(x: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
 
 
-def _answer_bigrams(model: Words):  # noqa: ANN202
+def _answer_grams(known: Known):  # noqa: ANN202
+    words = not known.discounts
+
     def run(table: pa.Table) -> pa.Table:
-        names, bucket = ("contexts", "sizes", "nexts", "ofnext", "counts", "shared"), table["bucket"][0].as_py()
-        blobs = [[unpacked(x, d) for x in table[n].to_pylist()] for n, d in zip(names, ("<u8", "<u4", "<u8", "<i8", "<i8", "u1"), strict=True)]
-        contexts, sizes, nexts, ofnext, counts, shared = (np.concatenate(x) for x in blobs)
+        names, bucket = ("contexts", "sizes", "nexts", "lower", "counts", "shared"), table["bucket"][0].as_py()
+        blobs = [[unpacked(x, d) for x in table[n].to_pylist()] for n, d in zip(names, ("<u8", "<u4", "<u8", "<i8" if words else "<f8", "<i8", "u1"), strict=True)]
+        contexts, sizes, nexts, lower, counts, shared = (np.concatenate(x) for x in blobs)
         keys, context = np.unique(contexts, return_inverse=True)
         v = np.repeat(context, sizes)
         order = np.lexsort((nexts, v)) if len(keys) >= 1 << 20 else np.argsort(v.astype(np.uint64) << np.uint64(44) | nexts)
@@ -256,7 +320,7 @@ def _answer_bigrams(model: Words):  # noqa: ANN202
         index = np.empty(len(order), np.int64)
         index[order] = np.cumsum(new) - 1
         total = np.add.reduceat(counts[order], first)
-        pv, p = vs[first], model.p(ofnext[order][first])
+        pv, p = vs[first], known.model.p(lower[order][first]) if words else np.maximum.reduceat(lower[order], first)
         own = total > 0
         sums = np.zeros((len(keys), K), np.int64)
         few = own & (total <= K)
@@ -271,7 +335,7 @@ def _answer_bigrams(model: Words):  # noqa: ANN202
             lo, clo = lo + n, clo + len(c)
         pv, ns = pv[own], ns[first][own]
         at = _firsts(pv) if len(pv) else np.zeros(0, np.int64)
-        rows.append(("bigram", bucket, None, packed(keys[pv[at]]), packed(np.diff(np.append(at, len(pv))).astype("<u4")), packed(ns), packed(total[own]), packed(sums[pv[at]].reshape(-1)), packed(seen[pv[at]]), _of_counts(total[own])))
+        rows.append(("gram", bucket, None, packed(keys[pv[at]]), packed(np.diff(np.append(at, len(pv))).astype("<u4")), packed(ns), packed(total[own]), packed(sums[pv[at]].reshape(-1)), packed(seen[pv[at]]), _of_counts(total[own])))
         several = np.unique(context[shared > 0])
         rows.append(("part", bucket, None, packed(keys[several]), None, None, None, packed(sums[several].reshape(-1)), packed(seen[several]), None))
         return pa.Table.from_batches([_rows(TABLE2, rows)])
@@ -290,15 +354,12 @@ def _open_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _rows(PART, rows)
 
 
-def _frequent_contexts(word_buckets: int, frequent: int):  # noqa: ANN202
+def _frequent_contexts(known: Known):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                b = Block(row)
-                counts = _counts_of(b, row["answers"], word_buckets)
-                keys = b.words[counts >= frequent]
-                if counts[np.searchsorted(b.words, hashes([END])[0])] >= frequent:
-                    keys = np.append(keys, hashes([START]))
+                below = known.level(Block(row), row)
+                keys = below.keys[below.ofcontext >= known.frequent]
                 yield _rows("block string, context long", [(row["block"], k) for k in keys.view(np.int64).tolist()])
 
     return run
@@ -307,30 +368,14 @@ def _frequent_contexts(word_buckets: int, frequent: int):  # noqa: ANN202
 SCORES = "id long, n_tokens long, n_known long, base_score double, score double"
 
 
-def _score(word_buckets: int, buckets: int, frequent: int, model: Words, d: Discounts):  # noqa: ANN202
+def _score(known: Known):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 b = Block(row)
-                counts = _counts_of(b, row["answers"], word_buckets)
-                codes, index = np.unique(b.bigrams(), return_inverse=True)
-                v, w, order, starts, keys, parts = b.by_context(codes, counts, buckets, frequent)
-                total, sums, seen = np.zeros(len(codes), np.int64), np.zeros((len(keys), K), np.int64), np.zeros(len(keys))
-                for a in row["bigrams"] or []:
-                    at = order[starts[a["bucket"]] : starts[a["bucket"] + 1]]
-                    total[at] = unpacked(a["counts"], "<i8")
-                    own = v[at[_firsts(v[at])]]
-                    sums[own], seen[own] = unpacked(a["sums"], "<i8").reshape(-1, K), unpacked(a["seen"], "<f8")
-                shared = {x["context"]: x for x in row["frequent"] or []}
-                for i in np.flatnonzero(parts > 1):
-                    if x := shared.get(int(keys[i : i + 1].view(np.int64)[0])):  # the end is no context
-                        sums[i], seen[i] = x["sums"], x["seen"]
-                ofcontext = np.append(counts, counts[np.searchsorted(b.words, hashes([END])[0])])
-                alpha, scale = backoff(ofcontext, sums, seen, d)
-                p = alpha[v] * model.p(counts)[w]
-                own = np.flatnonzero(total)
-                p[own] = d.kept(total[own]) * scale[v[own]] / ofcontext[v[own]]
-                out = [np.diff(b.ends, prepend=0), np.add.reduceat((counts > 0).astype(np.int64)[b.tokens], b.starts), np.add.reduceat(model.base(counts)[b.tokens], b.starts), np.add.reduceat(np.log10(p)[index], b.starts)]
+                counts = _counts_of(b, row["answers"], known.word_buckets)
+                longest = known.level(b, row)
+                out = [np.diff(b.ends, prepend=0), np.add.reduceat((counts > 0).astype(np.int64)[b.tokens], b.starts), np.add.reduceat(known.model.base(counts)[b.tokens], b.starts), np.add.reduceat(np.log10(longest.p)[longest.index], b.starts)]
                 yield pa.RecordBatch.from_arrays([pa.array(b.ids), *map(pa.array, out)], [x.split()[0] for x in SCORES.split(", ")])
 
     return run
@@ -347,34 +392,38 @@ def _gathered(table: DataFrame, name: str, *columns: str) -> DataFrame:
     return table.groupBy("block").agg(F.collect_list(F.struct(*columns)).alias(name))
 
 
-def scored(documents: DataFrame, held_out, frequent: int = 200_000) -> tuple[DataFrame, dict]:  # noqa: ANN001
+def scored(documents: DataFrame, held_out, frequent: int = 200_000, order: int = 2) -> tuple[DataFrame, dict]:  # noqa: ANN001
     """((id, n_tokens, n_known, base_score, score) per doc_id, the model: its tables and totals).
 
     held_out: a condition on doc_id; documents for which it holds are scored but not learned from.
+    order: the length of the longest n-grams.
     """
     spark = documents.sparkSession
     rows = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.col("text").cast("string"), (~F.coalesce(held_out, F.lit(False))).alias("train"))
     with arrow_rows(spark, 2000):
         blocks, n = bucketed(rows.mapInArrow(_pack, BLOCKS), "lm_blocks")
     with arrow_rows(spark, 1):  # a row is a block, or a bucket's part of one
-        return _scored(blocks, max(12, 2 * n), frequent)
+        return _scored(blocks, max(12, 2 * n), frequent, order)
 
 
-def _scored(blocks: DataFrame, buckets: int, frequent: int) -> tuple[DataFrame, dict]:
+def _scored(blocks: DataFrame, buckets: int, frequent: int, order: int) -> tuple[DataFrame, dict]:
     asked = blocks.mapInArrow(_ask_words(buckets), ASK1)
     words = written(asked.groupBy("bucket").applyInArrow(_answer_words, TABLE1), "lm-words", "kind")
     of = words.where("kind = 'word'").agg(F.sum("total").alias("total"), F.sum("distinct").alias("distinct"), *(F.sum(F.col("n")[r]).alias(f"n{r}") for r in range(K + 1))).first()
     model = Words(of["total"] or 0, of["distinct"] or 0, [of[f"n{r}"] or 0 for r in range(K + 1)])
     answers = _gathered(words.where("kind = 'answer'"), "answers", "bucket", "counts")
-    asked = _with(blocks, answers).mapInArrow(_ask_bigrams(buckets, buckets, frequent), ASK2)
-    bigrams = written(asked.groupBy("bucket").applyInArrow(_answer_bigrams(model), TABLE2), "lm-bigrams", "kind")
-    of = bigrams.where("kind = 'bigram'").agg(*(F.sum(F.col("n")[r]).alias(f"n{r}") for r in range(K + 1))).first()
-    d = Discounts([of[f"n{r}"] or 0 for r in range(K + 1)])
-    parts = bigrams.where("kind = 'part'").select("contexts", "sums", "seen").mapInArrow(_open_parts, PART)
-    contexts = parts.groupBy("context").agg(F.array(*(F.sum(F.col("sums")[r]) for r in range(K))).alias("sums"), F.sum("seen").alias("seen"))
-    wanted = _with(blocks, answers).mapInArrow(_frequent_contexts(buckets, frequent), "block string, context long")
-    few = _gathered(wanted.join(contexts, "context"), "frequent", "context", "sums", "seen")
-    pairs = _gathered(bigrams.where("kind = 'answer'"), "bigrams", "bucket", "counts", "sums", "seen")
-    scores = _with(blocks, answers, pairs, few).mapInArrow(_score(buckets, buckets, frequent, model, d), SCORES)
+    known, tables, told = Known(buckets, frequent, model, []), [], [answers]
+    for n in range(2, order + 1):
+        asked = _with(blocks, *told).mapInArrow(_ask_grams(known), ASK2)
+        grams = written(asked.groupBy("bucket").applyInArrow(_answer_grams(known), TABLE2), f"lm-grams{n}", "kind")
+        of = grams.where("kind = 'gram'").agg(*(F.sum(F.col("n")[r]).alias(f"n{r}") for r in range(K + 1))).first()
+        parts = grams.where("kind = 'part'").select("contexts", "sums", "seen").mapInArrow(_open_parts, PART)
+        contexts = parts.groupBy("context").agg(F.array(*(F.sum(F.col("sums")[r]) for r in range(K))).alias("sums"), F.sum("seen").alias("seen"))
+        wanted = _with(blocks, *told).mapInArrow(_frequent_contexts(known), "block string, context long")
+        few = written(_gathered(wanted.join(contexts, "context"), f"frequent{n}", "context", "sums", "seen"), f"lm-frequent{n}")
+        told = [*told, _gathered(grams.where("kind = 'answer'"), f"grams{n}", "bucket", "counts", "sums", "seen"), few]
+        known = replace(known, discounts=[*known.discounts, Discounts([of[f"n{r}"] or 0 for r in range(K + 1)])])
+        tables.append(grams)
+    scores = _with(blocks, *told).mapInArrow(_score(known), SCORES)
     out = written(scores, "lm-scores").groupBy("id").agg(*(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")))
-    return out.withColumn("id", F.when(F.col("id") != NO_ID, F.col("id"))), {"words": words, "bigrams": bigrams, "totals": model, "discounts": d}
+    return out.withColumn("id", F.when(F.col("id") != NO_ID, F.col("id"))), {"words": words, "grams": tables, "totals": model, "discounts": known.discounts}

@@ -12,10 +12,12 @@ from .common import crc_mod
 
 #: Labelled documents that language identification learns from, of each language at most; windows of each; bytes of a window.
 PER_LANGUAGE, SPOTS, WINDOW = 1024, 3, 256
+#: Length of the language model's longest n-grams.
+ORDER = 3
 
 
 def op1_katz_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores, model = ngram_lm.scored(table(spark, sf_dir, "documents"), crc_mod("doc_id", 5) == 1)
+    scores, model = ngram_lm.scored(table(spark, sf_dir, "documents"), crc_mod("doc_id", 5) == 1, order=ORDER)
     return scores.select(
         F.col("id").alias("doc_id"), F.coalesce(crc_mod("id", 5) == 1, F.lit(False)).alias("held_out"), "n_tokens", "n_known",
         F.lit(model["totals"].total).cast("long").alias("train_tokens"), "base_score", "score",

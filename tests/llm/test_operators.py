@@ -162,6 +162,53 @@ def test_katz_against_plain_model(spark, monkeypatch):
             assert got[i].score == pytest.approx(sum(math.log10(model.p(v, w)) for v, w in zip(["<s>", *t], t, strict=False)), abs=1e-9)
 
 
+class KatzOfOrder:
+    """The model of any order, written down plainly; histories are tuples, padded with starts."""
+
+    def __init__(self, train, order):
+        self.order, self.base = order, Katz(train)
+        self.c, self.after, self.d = {}, {}, {}
+        for n in range(2, order + 1):
+            c = collections.Counter(g for t in train for g in self.grams(t, n))
+            self.c[n], self.after[n] = c, collections.defaultdict(set)
+            for g in c:
+                self.after[n][g[:-1]].add(g[-1])
+            self.d[n] = Katz.ratios([sum(x == r for x in c.values()) for r in range(1, 7)])
+
+    @staticmethod
+    def grams(t, n):
+        full = [*["<s>"] * (n - 1), *t]
+        return [tuple(full[i : i + n]) for i in range(len(t))]
+
+    def p(self, h, w):
+        if not h:
+            return self.base.p1(w)
+        n = len(h) + 1
+        c, d, after = self.c[n], self.d[n], self.after[n].get(h, ())
+        of = sum(c[(*h, x)] for x in after)
+        if not of:
+            return self.p(h[1:], w)
+        kept, scale = sum(d[min(c[(*h, x)], 6)] * c[(*h, x)] for x in after) / of, 1.0
+        if 1 - kept <= 1e-12:
+            scale = kept = of / (of + 1)
+        if c[(*h, w)]:
+            return d[min(c[(*h, w)], 6)] * c[(*h, w)] / of * scale
+        return (1 - kept) / (1 - sum(self.p(h[1:], x) for x in after)) * self.p(h[1:], w)
+
+
+@pytest.mark.parametrize(("order", "frequent"), [(1, 200_000), (3, 200_000), (3, 20), (4, 200_000)])
+def test_katz_of_other_orders(spark, monkeypatch, order, frequent):
+    monkeypatch.setattr(ngram_lm, "BLOCK_TOKENS", 300)
+    texts = random_texts(60, (0, 40), 8) + [None, "", "Never SEEN words"]
+    tokens = {i: [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower()), "</s>"] for i, t in enumerate(texts)}
+    model = KatzOfOrder([t for i, t in tokens.items() if zlib.crc32(str(i).encode()) % 5 != 1], order)
+    for h in list(model.after[order])[:50] if order > 1 else [()]:
+        assert sum(model.p(h, w) for w in [*model.base.c1, "?"]) == pytest.approx(1)
+    got = {r.id: r.score for r in ngram_lm.scored(docs(spark, list(enumerate(texts))), crc_mod("doc_id", 5) == 1, frequent, order)[0].collect()}
+    for i, t in tokens.items():
+        assert got[i] == pytest.approx(sum(math.log10(model.p(g[:-1], g[-1])) for g in model.grams(t, order)), abs=1e-9)
+
+
 def test_katz_without_rows_or_training(spark):
     assert ngram_lm.scored(docs(spark, [(1, "a")]).limit(0), F.lit(True))[0].count() == 0
     row = ngram_lm.scored(docs(spark, [(1, "a b")]), F.lit(True))[0].first()

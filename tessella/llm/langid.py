@@ -122,6 +122,23 @@ def sampled(labelled: DataFrame, per_language: int, spots: int, window: int) ->
     return [(r.t.encode(), r.lang) for r in rows]
 
 
+def least_score(net: Network, rows: list[tuple[bytes, str]], share: float = 0.001, least_rows: int = 20) -> float:
+    """The score below which a text is in none of the languages, from windows that were not learned from.
+
+    Certainty is how far a score is from 1 / languages, the least there is, to 1. The limit lies a tenth below that which all but `share` of
+    the windows reach. It is 0, so that nothing is rejected, where nothing can be told: one language only, or too few windows.
+    """
+    floor = 1 / len(net.languages)
+    known = [t for t, lang in rows if lang in net.languages]
+    if floor == 1 or len(known) < least_rows:
+        return 0.0
+    x, _ = windows([t[: net.window].ljust(net.window, b"\0") for t in known], net.window)
+    out = net.logits(x, net.pairs())
+    p = np.exp(out - out.max(axis=1, keepdims=True))
+    certain = ((p / p.sum(axis=1, keepdims=True)).max(axis=1) - floor) / (1 - floor)
+    return float(floor + (1 - floor) * 0.9 * np.quantile(certain, share))
+
+
 PREDICTED = "doc_id long, lang_pred string, score double"
 
 

@@ -36,3 +36,21 @@ def test_stages(spark, tmp_path):
 def test_run_gives_the_last_stage(spark):
     rows = cp.run(spark, "/root/testdata/sf0.001")
     assert rows.columns == mixing.mixed(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")).columns and rows.count() > 50
+
+
+def test_language_stage_without_labels(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(1, "some clean text", None, "a", 15), (2, "12345 !!", None, "a", 8), (3, "ещё", None, "a", 3), (4, None, None, "a", 0), (None, "x", None, "a", 1)]
+    got = cp.language_stage(spark, spark.createDataFrame(rows, schema), "")
+    assert got.columns == [x.split()[0] for x in schema.split(", ")] and {r.doc_id for r in got.collect()} == {1, 3, None} and got.count() == 3
+    one = spark.createDataFrame([(i, f"some clean text {i}", "en", "a", 17) for i in range(60)] + rows, schema)
+    assert {r.doc_id for r in cp.language_stage(spark, one, "").where("doc_id IS NULL OR doc_id > 4 OR lang IS NULL").collect()} == {None, 1, 3, *range(5, 60)}
+
+
+def test_language_stage_rejects_unlearned_languages(spark):
+    known = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang IN ('de', 'en', 'fr')")
+    rows = [(9001, "天地玄黃宇宙洪荒日月盈昃辰宿列張寒來暑往秋收冬藏" * 4), (9002, "Съешь же ещё этих мягких французских булок да выпей чаю " * 4)]
+    docs = known.unionByName(spark.createDataFrame([(i, t, None, "a", len(t)) for i, t in rows], known.schema))
+    kept = {r.doc_id for r in cp.language_stage(spark, docs, "").select("doc_id").collect()}
+    lettered = {r.doc_id for r in known.where("text RLIKE '\\\\p{L}'").select("doc_id").collect()}
+    assert kept & {9001, 9002} == set() and len(lettered - kept) <= 0.002 * len(lettered)

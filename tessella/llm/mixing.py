@@ -83,24 +83,45 @@ def placed(sizes: DataFrame) -> DataFrame:
     return parts.withColumn("inner", inner).join(before, F.col("source").eqNullSafe(F.col("of")) & (F.col("part") == F.col("in"))).select("doc_id", "source", "size", (F.col("before") + F.col("inner")).alias("at"))
 
 
-def mixed(documents: DataFrame, block_words: int = 128, most: int = 3, weights: tuple[int, ...] = (5, 2, 1)) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) per row of documents.
-
-    A source with k slots takes its words 0 to k * block_words of the endless repetition of its shuffled documents, `most` times its
-    size at most; `taken` counts a document's words among them.
-    """
+def _laid(documents: DataFrame, block_words: int, most: int, weights: tuple[int, ...]) -> tuple[DataFrame, DataFrame]:
+    """(documents in their places with their source's size, target and `words`, how many the source takes; the schedule)."""
     sizes = written(sized(documents), "sizes")
     shares = targets(sizes, weights, most)
     total, n_sources = shares.agg(F.coalesce(F.max("total"), F.lit(0.0)), F.count("*")).first()
     total = int(total)
-    slots = schedule(shares, -(-total // block_words))
+    slots = written(schedule(shares, -(-total // block_words)), "slots")
     words = slots.groupBy("source").agg(((F.max("rank") + 1) * block_words).alias("words")).withColumnRenamed("source", "of")
     sources = shares.join(words, F.col("source").eqNullSafe(F.col("of")), "left").select(
         F.col("source").alias("from"), "source_size", "target", F.least(F.coalesce("words", F.lit(0)), most * F.col("source_size")).alias("words")
     )
     if n_sources <= MOST_BROADCAST:  # else the join splits large sources
         sources = F.broadcast(sources)
-    full = F.floor(F.col("words") / F.greatest("source_size", F.lit(1)))
-    rest = F.col("words") - full * F.col("source_size")
-    taken = full * F.col("size") + F.greatest(F.lit(0), F.least(F.col("at") + F.col("size"), rest) - F.col("at"))
-    return placed(sizes).join(sources, F.col("source").eqNullSafe(F.col("from"))).select("doc_id", "size", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"), taken.cast("long").alias("taken"))
+    laid = placed(sizes).join(sources, F.col("source").eqNullSafe(F.col("from"))).select("doc_id", "source", "size", "at", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"), "words")
+    return written(laid, "laid"), slots
+
+
+def _dealt(laid: DataFrame, slots: DataFrame, block_words: int) -> DataFrame:
+    """blocks(), with the place `at` of the document."""
+    again = laid.where("size > 0 AND at < words").withColumn("copy", F.explode(F.expr("sequence(0L, (words - 1 - at) div source_size)")))
+    ranges = again.withColumn("lo", F.expr("at + copy * source_size")).withColumn("hi", F.expr("least(lo + size, words)"))
+    parts = ranges.withColumn("rank", F.explode(F.expr(f"sequence(lo div {block_words}, (hi - 1) div {block_words})"))).withColumn("from", F.expr(f"greatest(lo, rank * {block_words})"))
+    parts = parts.select("doc_id", F.col("source").alias("of"), "at", F.col("rank").alias("r"), F.expr(f"from - rank * {block_words}").alias("place"), F.expr("from - lo").alias("start"), F.expr(f"least(hi, (rank + 1) * {block_words}) - lo").alias("end"))
+    return parts.join(slots, F.col("of").eqNullSafe(F.col("source")) & (F.col("r") == F.col("rank"))).select("slot", "source", "rank", "place", "doc_id", "start", "end", "at")
+
+
+def blocks(documents: DataFrame, block_words: int = 128, most: int = 3, weights: tuple[int, ...] = (5, 2, 1)) -> DataFrame:
+    """(slot, source, rank, place, doc_id, start, end): the mix; words start to end (exclusive, from 0) of a document lie at `place` in a slot's block.
+
+    The r-th slot of a source holds words r * block_words to (r + 1) * block_words of the endless repetition of its shuffled documents,
+    which ends after `most` times the source's size.
+    """
+    return _dealt(*_laid(documents, block_words, most, weights), block_words).drop("at")
+
+
+def mixed(documents: DataFrame, block_words: int = 128, most: int = 3, weights: tuple[int, ...] = (5, 2, 1)) -> DataFrame:
+    """(doc_id, size, source_size, target, taken) per row of documents; `taken` counts a document's words in the blocks."""
+    laid, slots = _laid(documents, block_words, most, weights)
+    taken = _dealt(laid, slots, block_words).groupBy("source", "at").agg(F.sum(F.col("end") - F.col("start")).alias("taken")).toDF("of", "there", "taken")
+    # only one document with words lies at a place of a source
+    found = laid.join(taken, F.col("source").eqNullSafe(F.col("of")) & (F.col("at") == F.col("there")) & (F.col("size") > 0), "left")
+    return found.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))

@@ -379,6 +379,32 @@ def test_mixing_targets_and_limits(spark):
     assert mixing.mixed(docs(spark, rows).limit(0)).count() == 0 and [r.taken for r in mixing.mixed(docs(spark, [(1, None)])).collect()] == [0]
 
 
+def test_blocks_hold_the_words_of_their_slots(spark):
+    rows = [(i, "w " * n, None, s) for i, (n, s) in enumerate([(40, "b"), (60, "b"), (5, "a"), (0, "a"), (7, "a"), (30, None), (300, "c"), (2, "é"), (500, "d")])] + [(20, "x y z", None, "a"), (20, "x y z", None, "a"), (None, "x y", None, "b"), (21, None, None, "e")]
+    got = mixing.blocks(docs(spark, rows), block_words=4).collect()
+    order = collections.defaultdict(list)  # (id, word) of each source's shuffled documents
+    for i, t, _, s in sorted(rows, key=lambda r: (hashlib.md5(f"mix:{'' if r[0] is None else r[0]}".encode()).hexdigest(), r[0] or 0)):
+        order[s] += [(i, w) for w in range(len((t or "").split()))]
+    slots, held = collections.defaultdict(dict), {}
+    for r in got:
+        assert held.setdefault(r.slot, (r.source, r["rank"])) == (r.source, r["rank"])
+        for k in range(r.end - r.start):
+            assert r.place + k not in slots[r.slot]
+            slots[r.slot][r.place + k] = (r.doc_id, r.start + k)
+    ranks, taken = collections.Counter(), collections.Counter()
+    for slot in sorted(slots):
+        source, rank = held[slot]
+        words, ranks[source] = order[source], ranks[source] + 1
+        assert rank == ranks[source] - 1
+        wanted = [words[w % len(words)] for w in range(rank * 4, min(rank * 4 + 4, 3 * len(words)))]
+        assert [slots[slot][k] for k in sorted(slots[slot])] == wanted
+        taken.update(i for i, _ in wanted)
+    digest = collections.Counter()
+    for r in mixing.mixed(docs(spark, rows), block_words=4).collect():
+        digest[r.doc_id] += r.taken
+    assert len(slots) > 100 and +digest == taken and mixing.blocks(docs(spark, rows).limit(0)).count() == 0
+
+
 def test_schedule_follows_points(spark):
     shares = spark.createDataFrame([("a", 0.0, 0.5), ("b", 0.5, 0.51), ("c", 0.51, 1.0), ("d", 1.0, 1.0)], "source string, lo double, hi double")
     rows = mixing.schedule(shares, 3000).orderBy("slot").collect()

@@ -16,6 +16,7 @@ import base64
 import hashlib
 import io
 import json
+import re
 import struct
 import uuid
 import zipfile
@@ -36,6 +37,11 @@ MEMBER, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
+def index_key(url: str) -> str:
+    """A url as the first field of an index line: no space, brace or character that ends a line to any reader."""
+    return re.sub(r"[\s{}\x1c-\x1f\x85\u2028\u2029]", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), url)
+
+
 def opened(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path)
 
@@ -78,7 +84,7 @@ def archive(records: list[bytes], index: list[dict]) -> bytes:
     out, at = io.BytesIO(), 0
     lines = []
     for data, entry in zip(records, index, strict=True):
-        lines.append(f"{entry['url']} 20240101000000 " + json.dumps(entry | {"offset": at, "length": len(data), "filename": MEMBER.rpartition("/")[2]}))
+        lines.append(f"{index_key(entry['url'])} 20240101000000 " + json.dumps(entry | {"offset": at, "length": len(data), "filename": MEMBER.rpartition("/")[2]}))
         at += len(data)
     with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED, allowZip64=True) as z:
         z.writestr(MEMBER, b"".join(records))
@@ -145,8 +151,8 @@ class ZipReader:
         """The records that the archive's indexes name, each by a range read."""
         for name in sorted(self.members):
             if name.startswith("indexes/") and name.endswith(".cdxj"):
-                lines = self.read(self.start(name), self.members[name]["size"]).decode().splitlines()
-                entries = [json.loads(line[line.index("{") :]) for line in lines]
+                lines = self.read(self.start(name), self.members[name]["size"]).decode().split("\n")
+                entries = [json.loads(line.split(" ", 2)[2]) for line in lines if line]
                 starts = {f: self.start(f"archive/{f}") for f in {e["filename"] for e in entries}}
                 for e in sorted(entries, key=lambda e: (e["filename"], e["offset"])):
                     yield self.read(starts[e["filename"]] + e["offset"], e["length"])

@@ -285,6 +285,17 @@ def test_warc_round_trip(spark):
     assert small == []
 
 
+def test_warc_urls_that_break_index_lines(spark):
+    odd = ["{", "}", '{"a": 1}', "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029", "\t", "\r\n", " ", "\xa0", "%7B"]
+    pages = spark.createDataFrame([(i, f"http://a/{x}b{x}", f"p{i}") for i, x in enumerate(odd)], "page_id long, url string, html string").coalesce(1)
+    archives = warc_zip.archived(pages)
+    assert sorted(r.page_id for r in warc_zip.read_archives(archives).collect()) == list(range(len(odd)))
+    system, path = warc_zip.opened(archives.first().path)
+    with zipfile.ZipFile(io.BytesIO(system.open_input_file(path).read())) as z:
+        lines = z.read(warc_zip.INDEX).decode()
+    assert len(lines.splitlines()) == len(odd) and all(line.index("{") == len(" ".join(line.split(" ", 2)[:2])) + 1 for line in lines.splitlines())
+
+
 def test_zip64_directory_by_hand():
     """A ZIP64 archive with one stored member behind a compressed one."""
     out, data = io.BytesIO(), b"hello member"

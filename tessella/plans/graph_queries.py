@@ -67,7 +67,10 @@ w AS (SELECT node, base, [node] AS path, 1.0::DOUBLE AS product, 0 AS hops FROM
 SELECT node, round(max(base*product/(hops+1)),6) AS score, min(hops)::BIGINT AS hops FROM w GROUP BY 1""")
 def q_structural_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     thin = thinned(spark, sf_dir)
-    edges = trade(spark, sf_dir).join(F.broadcast(thin), ["src", "dst"], "left_semi").select("src", "dst", "confidence")
+    return scored_from_roots(spark, trade(spark, sf_dir).join(F.broadcast(thin), ["src", "dst"], "left_semi").select("src", "dst", "confidence"))
+
+
+def scored_from_roots(spark: SparkSession, edges: DataFrame) -> DataFrame:
     roots = spark.sql("SELECT * FROM VALUES (0, 1.0D), (5, 0.95D) AS r(node, score)")
     return graph.path_scores(edges, roots, 2).select("node", F.round("score", 6).alias("score"), "hops")
 
@@ -122,14 +125,14 @@ br AS (SELECT DISTINCT unnest([src,dst]) AS node FROM t JOIN nation a ON a.n_nat
 im AS (SELECT n_nationkey AS node, coalesce(i.n,0)::BIGINT AS fan_in, coalesce(o.n,0)::BIGINT AS fan_out, (br.node IS NOT NULL)::BIGINT AS bridge FROM nation LEFT JOIN i ON i.node = n_nationkey LEFT JOIN o ON o.node = n_nationkey LEFT JOIN br ON br.node = n_nationkey)"""
 
 
-def ranked_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ranked_nations(spark: SparkSession, sf_dir: str, pairs: DataFrame) -> DataFrame:
     nodes = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("node"), F.col("n_regionkey").alias("group"))
-    return derived.importance(nodes, thinned(spark, sf_dir))
+    return derived.importance(nodes, pairs)
 
 
 @query(f"WITH {IMPORTANCE} SELECT *, row_number() OVER (ORDER BY bridge DESC, fan_in DESC, fan_out DESC, node)::BIGINT AS rank FROM im")
 def q_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranked_nations(spark, sf_dir)
+    return ranked_nations(spark, sf_dir, thinned(spark, sf_dir))
 
 
 @query(f"""WITH {EDGES}, g AS (SELECT e.src, e.dst, a.n_regionkey AS sc, b.n_regionkey AS dc FROM e JOIN nation a ON a.n_nationkey = src JOIN nation b ON b.n_nationkey = dst),
@@ -168,20 +171,62 @@ def q_layer_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 s AS (SELECT path, n, max(CASE WHEN t.dst IS NULL THEN 0 WHEN list_contains(path, t.dst) THEN 1 ELSE 2 END) AS onward FROM w LEFT JOIN t ON t.src = w.at GROUP BY 1,2)
 SELECT array_to_string(path, '>') AS path, n::BIGINT AS length, CASE WHEN onward = 2 THEN 'depth_limit' WHEN onward = 1 THEN 'cycle' ELSE 'terminal' END AS terminal FROM s WHERE onward < 2 OR n = 3""")
 def q_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    roots = table(spark, sf_dir, "nation").where("n_nationkey < 6").select(F.col("n_nationkey").alias("node"))
-    found = derived.flows(thinned(spark, sf_dir), roots, 3)
+    return flows_from(spark, sf_dir, table(spark, sf_dir, "nation").where("n_nationkey < 6"))
+
+
+def flows_from(spark: SparkSession, sf_dir: str, nations: DataFrame) -> DataFrame:
+    found = derived.flows(thinned(spark, sf_dir), nations.select(F.col("n_nationkey").alias("node")), 3)
     return found.select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), "length", "terminal")
 
 
 @query(f"""WITH {IMPORTANCE}, s AS (SELECT 'nation:' || node AS item, 0 AS tier, fan_in AS weight FROM im WHERE bridge = 1 UNION ALL SELECT 'region:' || n_regionkey, 1, count(*) FROM nation GROUP BY n_regionkey),
 r AS (SELECT row_number() OVER (ORDER BY tier, weight DESC, item) AS position, item, tier FROM s) SELECT position::BIGINT AS position, item, tier::BIGINT AS tier, lead(item) OVER (ORDER BY position) AS next_item FROM (SELECT * FROM r WHERE position <= 12)""")
 def q_tour(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bridges = ranked_nations(spark, sf_dir).where("bridge = 1").select(F.concat(F.lit("nation:"), F.col("node").cast("string")).alias("item"), F.lit(0).cast("long").alias("tier"), F.col("fan_in").alias("weight"))
+    return toured(spark, sf_dir, thinned(spark, sf_dir))
+
+
+def toured(spark: SparkSession, sf_dir: str, pairs: DataFrame) -> DataFrame:
+    bridges = ranked_nations(spark, sf_dir, pairs).where("bridge = 1").select(F.concat(F.lit("nation:"), F.col("node").cast("string")).alias("item"), F.lit(0).cast("long").alias("tier"), F.col("fan_in").alias("weight"))
     regions = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.count("*").alias("weight")).select(F.concat(F.lit("region:"), F.col("n_regionkey").cast("string")).alias("item"), F.lit(1).cast("long").alias("tier"), "weight")
     stops = bridges.union(regions)
     return derived.tour(stops, 12)
 
 
+WHOLE = IMPORTANCE.replace(THIN, f"{EDGES}, t AS (SELECT DISTINCT src, dst FROM e WHERE src <> dst)")
+
+
+def whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src, dst): all pairs of nations that trade."""
+    return trade(spark, sf_dir).where("src <> dst").select("src", "dst").distinct()
+
+
+@query(f"WITH {WHOLE} SELECT *, row_number() OVER (ORDER BY bridge DESC, fan_in DESC, fan_out DESC, node)::BIGINT AS rank FROM im")
+def q_importance_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_nations(spark, sf_dir, whole(spark, sf_dir))
+
+
+@query(f"""WITH RECURSIVE {EDGES}, c AS (SELECT least(src,dst) AS a, greatest(src,dst) AS b, max(confidence) AS m FROM e WHERE src <> dst GROUP BY 1,2),
+u AS (SELECT a AS src, b AS dst, m FROM c UNION ALL SELECT b, a, m FROM c),
+w AS (SELECT node, base, [node] AS path, 1.0::DOUBLE AS product, 0 AS hops FROM (VALUES (0,1.0::DOUBLE),(5,0.95::DOUBLE)) r(node, base) UNION ALL
+ SELECT dst, base, list_append(path, dst), product*m, hops+1 FROM w JOIN u ON u.src = w.node WHERE hops < 2 AND NOT list_contains(path, dst))
+SELECT node, round(max(base*product/(hops+1)),6) AS score, min(hops)::BIGINT AS hops FROM w GROUP BY 1""")
+def q_structural_score_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scored_from_roots(spark, trade(spark, sf_dir).select("src", "dst", "confidence"))
+
+
+@query(f"""WITH {WHOLE}, s AS (SELECT 'nation:' || node AS item, 0 AS tier, fan_in AS weight FROM im WHERE bridge = 1 UNION ALL SELECT 'region:' || n_regionkey, 1, count(*) FROM nation GROUP BY n_regionkey),
+r AS (SELECT row_number() OVER (ORDER BY tier, weight DESC, item) AS position, item, tier FROM s) SELECT position::BIGINT AS position, item, tier::BIGINT AS tier, lead(item) OVER (ORDER BY position) AS next_item FROM (SELECT * FROM r WHERE position <= 12)""")
+def q_tour_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toured(spark, sf_dir, whole(spark, sf_dir))
+
+
+@query(f"""WITH RECURSIVE {THIN}, w AS (SELECT [n_nationkey] AS path, n_nationkey AS at, 0 AS n FROM nation UNION ALL SELECT list_append(path, dst), dst, n+1 FROM w JOIN t ON t.src = w.at WHERE n < 3 AND NOT list_contains(path, dst)),
+s AS (SELECT path, n, max(CASE WHEN t.dst IS NULL THEN 0 WHEN list_contains(path, t.dst) THEN 1 ELSE 2 END) AS onward FROM w LEFT JOIN t ON t.src = w.at GROUP BY 1,2)
+SELECT array_to_string(path, '>') AS path, n::BIGINT AS length, CASE WHEN onward = 2 THEN 'depth_limit' WHEN onward = 1 THEN 'cycle' ELSE 'terminal' END AS terminal FROM s WHERE onward < 2 OR n = 3""")
+def q_flows_all_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flows_from(spark, sf_dir, table(spark, sf_dir, "nation"))
+
+
 @query(f"""WITH RECURSIVE {TREE}, w AS (SELECT node, parent AS ancestor, 1 AS distance FROM p UNION ALL SELECT w.node, p.parent, distance+1 FROM w JOIN p ON p.node = w.ancestor),
 a AS (SELECT node, string_agg(ancestor, '<' ORDER BY distance) AS ancestors FROM w GROUP BY 1), r AS (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY node) AS r FROM p),
 f AS (SELECT parent, string_agg(node, ',' ORDER BY node) FILTER (r <= 5) AS anchors, count(*) AS n FROM r GROUP BY 1), s AS (SELECT node AS scope FROM p UNION SELECT parent FROM p),

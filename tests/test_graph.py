@@ -55,3 +55,15 @@ def test_longest_prefix(spark):
     paths = spark.createDataFrame([("a/b/c",), ("ab/c",), ("a",)], "p string")
     roots = spark.createDataFrame([("a",), ("a/b",)], "r string")
     assert {r.p: r.root for r in derived.longest_prefix(paths, roots, "p", "r").collect()} == {"a/b/c": "a/b", "ab/c": None, "a": "a"}
+
+
+def test_whole_graph_queries_see_all_pairs_and_roots(spark):
+    from tessella.plans import catalogue, graph_queries
+
+    folder = "/root/testdata/sf0.001"
+    pairs = {(r.src, r.dst) for r in graph_queries.trade(spark, folder).select("src", "dst").collect() if r.src != r.dst}
+    ranks = {r.node: r for r in catalogue.QUERIES["q_importance_whole"](spark, folder).collect()}
+    assert {n: (r.fan_in, r.fan_out) for n, r in ranks.items()} == {n: (sum(d == n for _, d in pairs), sum(s == n for s, _ in pairs)) for n in range(25)}
+    assert max(r.fan_out for r in ranks.values()) > 2
+    roots = {int(r.path.split(">")[0]) for r in catalogue.QUERIES["q_flows_all_roots"](spark, folder).collect()}
+    assert roots == set(range(25))

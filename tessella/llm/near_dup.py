@@ -6,8 +6,8 @@ a pair drops out when the posterior probability of reaching the threshold falls
 verified on the whole shingle sets. Links are counted and joined into forests where they are found, so rows stay linear in documents.
 
 Nulls: a null or empty text has no shingles and links with nothing; a text of fewer words than a shingle is one shingle; a null id
-links with nothing. Rows that repeat an id and text count each as a member of the class; an id that stands for a class and has several
-texts is compared by the least of them. An empty table gives no rows; other columns are ignored.
+links with nothing. Rows that repeat an id and text count each as a member of the class; an id with several texts is in several
+classes, each of which is compared by a text of its own. An empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from .common import forest, mix, shingle_sets, slices, written
 from .graph import components
 
 BANDS, ROWS = 40, 5
-SKETCH = "doc_id long, h1 long, h2 long, keys array<long>"
+SKETCH = "doc_id long, print long, h1 long, h2 long, keys array<long>"
 
 
 def minhash(values: np.ndarray, at: np.ndarray, n: int, seed: int) -> np.ndarray:
@@ -60,7 +60,7 @@ def _sketches(k: int):  # noqa: ANN202
                 keys = h.astype(np.int64)
             ends = np.concatenate(([0], np.cumsum(np.diff(at) > 0))) * BANDS
             lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(keys.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(sums[0]), pa.array(sums[1]), lists], ["doc_id", "h1", "h2", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("print"), pa.array(sums[0]), pa.array(sums[1]), lists], ["doc_id", "print", "h1", "h2", "keys"])
 
     return run
 
@@ -140,23 +140,27 @@ def joined(documents: DataFrame, k: int = 5, threshold: float = 0.8, tolerance:
     least id that links reach; kept: whether that is the document itself.
     """
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = texts.withColumn("print", F.xxhash64("text"))
     sketches = written(texts.mapInArrow(_sketches(k), SKETCH), "sketches")
     usable = sketches.where("doc_id IS NOT NULL AND size(keys) > 0")
-    classes = usable.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_docs"), F.first("keys").alias("keys"))
-    classes = written(classes, "classes")
-    bands = classes.select("rep", F.explode("keys").alias("key"))
-    hubs = bands.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
-    candidates = components(bands.join(hubs, "key").where("rep > hub").select("rep", "hub"), "rep", "hub")
-    reps = candidates.join(classes.select("rep", "n_docs"), F.col("id") == F.col("rep")).drop("rep")
-    members = texts.join(reps, F.col("doc_id") == F.col("id")).groupBy("id", "component", "n_docs").agg(F.min("text").alias("text"))
+    classes = usable.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "print")).alias("least"), F.count("*").alias("n_docs"), F.first("keys").alias("keys"))
+    # a class is a node of its own: an id may stand for several
+    classes = written(classes.select("h1", "h2", F.xxhash64("h1", "h2").alias("node"), F.col("least.doc_id").alias("rep"), F.col("least.print").alias("rep_print"), "n_docs", "keys"), "classes")
+    bands = classes.select("node", F.explode("keys").alias("key"))
+    hubs = bands.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
+    candidates = components(bands.join(hubs, "key").where("node > hub").select("node", "hub"), "node", "hub")
+    reps = candidates.join(classes.select("node", "rep", "rep_print", "n_docs"), F.col("id") == F.col("node")).drop("node")
+    members = texts.join(reps, (F.col("doc_id") == F.col("rep")) & (F.col("print") == F.col("rep_print"))).groupBy("id", "component", "n_docs").agg(F.min("text").alias("text"))
     found = paired_blocks(members, ["component"], "id", block).groupBy("component", "bi", "bj").applyInArrow(_verifier(k, threshold, tolerance, hashes), "id long, n long, root long")
     found = written(found, "links")
     counts = found.where("root IS NULL").groupBy("id").agg(F.sum("n").alias("n"))
+    ids = classes.select("node", "rep")
+    roots = found.where("root IS NOT NULL").select("id", "root").join(ids.toDF("id", "of"), "id").join(ids.toDF("root", "to"), "root").where("of <> to")
     reach = components(
-        found.where("root IS NOT NULL").select("id", "root").union(usable.join(classes.where("n_docs > 1"), ["h1", "h2"]).where("doc_id > rep").select("doc_id", "rep")), "id", "root"
+        roots.select(F.col("of").alias("id"), F.col("to").alias("root")).union(usable.join(classes.where("n_docs > 1"), ["h1", "h2"]).where("doc_id > rep").select("doc_id", "rep")), "id", "root"
     )
-    own = classes.select("h1", "h2", F.col("rep").alias("class_id"), "n_docs").join(counts, F.col("class_id") == F.col("id"), "left").drop("id")
-    rows = sketches.withColumn("usable", F.expr("doc_id IS NOT NULL AND size(keys) > 0")).drop("keys")
+    own = classes.select("h1", "h2", "node", F.col("rep").alias("class_id"), "n_docs").join(counts, F.col("node") == F.col("id"), "left").drop("id", "node")
+    rows = sketches.withColumn("usable", F.expr("doc_id IS NOT NULL AND size(keys) > 0")).drop("keys", "print")
     out = rows.join(own, (rows["h1"] == own["h1"]) & (rows["h2"] == own["h2"]) & rows["usable"], "left").select("doc_id", "class_id", "n_docs", "n")
     out = out.join(reach, F.col("doc_id") == F.col("id"), "left")
     component = F.coalesce("component", "doc_id")

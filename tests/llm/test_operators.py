@@ -349,6 +349,13 @@ def test_near_duplicates_of_nothing_and_repeats(spark):
     assert len(got) == 3 and {r.component_id for r in got} == {1}
 
 
+def test_near_duplicates_of_an_id_with_two_texts(spark):
+    a, b = ([f"{c}{i}" for i in range(60)] for c in "az")
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join([*a[:-1], "x"])), (3, " ".join([*b[:-1], "x"]))]
+    got = near_dup.joined(docs(spark, rows)).collect()
+    assert sorted((r.doc_id, r.n_links) for r in got) == [(1, 1), (1, 1), (2, 1), (3, 1)] and {r.component_id for r in got} == {1}
+
+
 def test_pruning_bound():
     for n in (16, 64, 128):
         m = near_dup.least_matches(n, 0.8, 1e-6)

@@ -54,3 +54,14 @@ def test_language_stage_rejects_unlearned_languages(spark):
     kept = {r.doc_id for r in cp.language_stage(spark, docs, "").select("doc_id").collect()}
     lettered = {r.doc_id for r in known.where("text RLIKE '\\\\p{L}'").select("doc_id").collect()}
     assert kept & {9001, 9002} == set() and len(lettered - kept) <= 0.002 * len(lettered)
+
+
+def test_near_duplicate_stage_keeps_one_row_of_a_group(spark):
+    words = [f"w{i}" for i in range(60)]
+    text, near, other = " ".join(words), " ".join([*words[:-1], "x"]), " ".join(f"o{i}" for i in range(20))
+    rows = [(7, text), (7, text), (None, text), (None, text), (9, near), (None, other), (None, other), (7, "on its own here and now"), (3, None), (3, None), (None, None), (5, "lone text")]
+    docs = spark.createDataFrame([(i, t, None, "a", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = cp.near_duplicate_stage(spark, docs, "")
+    assert got.columns == docs.columns
+    wanted = [(7, text), (None, other), (7, "on its own here and now"), (3, None), (3, None), (None, None), (5, "lone text")]
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(wanted, key=str)

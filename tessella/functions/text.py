@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 #: The code-v1 token pattern, its separators, and the bytes that count as a token.
 WORD_CLASS = r"[\p{L}\p{N}_]"
-TOKEN = WORD_CLASS + r"+(?:(?:::|[./:\-])" + WORD_CLASS + r"+)*"
-SEPARATORS = r"[_./:\-]+"
+TOKEN = WORD_CLASS + r"+(?:(?:::|[./:\\-])" + WORD_CLASS + r"+)*"
+SEPARATORS = r"[_./:\\-]+"
 BYTES_PER_TOKEN = 3
 
 
@@ -27,7 +27,8 @@ def match_tokens(match: Column) -> Column:
     """Distinct tokens of one match: itself, folded, and the parts of its segments, each folded too."""
     segments = F.filter(F.split(match, SEPARATORS), lambda s: s != "")
     parts = F.flatten(F.transform(segments, camel_parts))
-    return F.array_distinct(F.concat(F.array(match, fold(match)), F.flatten(F.transform(parts, lambda p: F.array(p, fold(p))))))
+    every = F.array_distinct(F.concat(F.array(match, fold(match)), F.flatten(F.transform(parts, lambda p: F.array(p, fold(p))))))
+    return F.when(match.rlike("^[a-z0-9]+$"), F.array(match)).otherwise(every)  # most words of prose are their only token
 
 
 def tokens(text: Column) -> Column:
@@ -50,6 +51,11 @@ def token_estimate(text: Column) -> Column:
     return F.floor((F.octet_length(text) + (BYTES_PER_TOKEN - 1)) / BYTES_PER_TOKEN).cast("long")
 
 
+def blank(text: Column) -> Column:
+    """Whether a text holds white space only."""
+    return ~text.rlike(r"(?U)\S")
+
+
 def lines(text: Column) -> Column:
     """Lines without their ends; a last line that is empty isn't one."""
     parts = F.split(text, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]")

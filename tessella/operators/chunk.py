@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.functions.text import lines, stable_id
+from tessella.functions.text import blank, lines, stable_id
 
 #: Lines of a window, lines that neighbours share, lines of the largest chunk.
 WINDOW_LINES, OVERLAP_LINES, MOST_LINES = 80, 10, 200
@@ -19,14 +19,22 @@ def window_chunks(files: DataFrame, window: int = WINDOW_LINES, overlap: int = O
     rows = cut.select("path", "ls", F.explode(F.sequence(F.lit(0), count - 1)).alias("ordinal"))
     start = F.col("ordinal") * step + 1
     out = rows.select("path", "ordinal", start.alias("start_line"), F.least(start + (window - 1), F.size("ls")).alias("end_line"), F.array_join(F.slice("ls", start, F.lit(window)), "\n").alias("text"))
-    return out.where(F.trim("text") != "")
+    return out.where(~blank(F.col("text")))
 
 
-def paragraph_chunks(files: DataFrame, breaks: Column) -> DataFrame:
-    """(path, ordinal, start_line, end_line): runs of lines between breaks. breaks: a condition on `line`; a line that meets it is left out and ends a run."""
-    rows = files.select("path", F.posexplode(lines(F.col("text"))).alias("at", "line")).withColumn("cut", breaks.cast("int"))
-    island = F.sum("cut").over(Window.partitionBy("path").orderBy("at"))
-    kept = rows.withColumn("island", island).where("cut = 0")
+#: A Markdown heading: up to three spaces, up to six marks, then a blank or the line's end.
+HEADING = r"^ {0,3}#{1,6}(?:[ \t]+|$)"
+
+
+def paragraph_chunks(files: DataFrame, breaks: Column | None = None, begins: Column | None = None) -> DataFrame:
+    """(path, ordinal, start_line, end_line): runs of lines.
+
+    breaks: a condition on `line`; a line that meets it is left out and ends a run (blank lines). begins: one for lines that begin a run (Markdown headings).
+    """
+    breaks = blank(F.col("line")) if breaks is None else breaks
+    begins = F.col("line").rlike(HEADING) if begins is None else begins
+    rows = files.select("path", F.posexplode(lines(F.col("text"))).alias("at", "line")).select("path", "at", breaks.cast("int").alias("cut"), (breaks | begins).cast("int").alias("new"))
+    kept = rows.withColumn("island", F.sum("new").over(Window.partitionBy("path").orderBy("at"))).where("cut = 0")
     runs = kept.groupBy("path", "island").agg((F.min("at") + 1).alias("start_line"), (F.max("at") + 1).alias("end_line"))
     return runs.withColumn("ordinal", F.row_number().over(Window.partitionBy("path").orderBy("start_line")) - 1).drop("island")
 

@@ -14,10 +14,11 @@ def resolve(references: DataFrame, definitions: DataFrame, most: int = 5) -> Dat
 
     references: (reference, qualified, name, directory); definitions: (definition, qualified, name, directory).
     """
-    exact = references.join(definitions.select("definition", F.col("qualified").alias("_q")), F.col("qualified") == F.col("_q")).groupBy("reference").agg(F.count_distinct("definition").alias("n_exact"))
-    near = references.join(definitions.select("definition", F.col("name").alias("_n"), F.col("directory").alias("_d")), (F.col("name") == F.col("_n")) & (F.col("directory") == F.col("_d"))).groupBy("reference").agg(F.count_distinct("definition").alias("n_near"))
+    # definitions are counted by key, so a frequent name meets each reference once
+    exact = definitions.where("qualified IS NOT NULL").groupBy("qualified").agg(F.count_distinct("definition").alias("n_exact"))
+    near = definitions.where("name IS NOT NULL AND directory IS NOT NULL").groupBy("name", "directory").agg(F.count_distinct("definition").alias("n_near"))
     n = F.coalesce("n_exact", "n_near", F.lit(0))
-    met = references.select("reference").join(exact, "reference", "left").join(near, "reference", "left")
+    met = references.join(exact, "qualified", "left").join(near, ["name", "directory"], "left")
     return met.select("reference", F.when(n == 0, "unresolved").when(n == 1, "resolved").otherwise("ambiguous").alias("status"), F.least(n, F.lit(most)).cast("long").alias("candidates"), (n > most).alias("truncated"))
 
 
@@ -45,21 +46,17 @@ def cluster_edges(edges: DataFrame) -> DataFrame:
 
 
 def merged_clusters(sizes: dict[str, int], weights: dict[tuple[str, str], int], least: int) -> dict[str, str]:
-    """Cluster -> cluster after merging, again and again, the first undersized one into the one that it is most connected with (ties: least key).
+    """Cluster -> cluster after merging, again and again, the first undersized one into the one that it is most connected with (ties, and none connected: least key).
 
     A sequential loop over a summary table: one entry per directory, and per pair of directories with edges.
     """
     owner, sizes, weights = {c: c for c in sizes}, dict(sizes), {tuple(sorted(p)): n for p, n in weights.items() if p[0] != p[1]}
-    alone: set[str] = set()
-    while True:
-        small = next((c for c in sorted(sizes) if sizes[c] < least and c not in alone), None)
+    while len(sizes) > 1:
+        small = next((c for c in sorted(sizes) if sizes[c] < least), None)
         if small is None:
-            return owner
+            break
         linked = {(b if a == small else a): n for (a, b), n in weights.items() if small in (a, b)}
-        if not linked:
-            alone.add(small)
-            continue
-        into = min(linked, key=lambda c: (-linked[c], c))
+        into = min((c for c in sizes if c != small), key=lambda c: (-linked.get(c, 0), c))
         sizes[into] += sizes.pop(small)
         owner = {c: into if o == small else o for c, o in owner.items()}
         moved: dict[tuple[str, str], int] = {}
@@ -69,6 +66,7 @@ def merged_clusters(sizes: dict[str, int], weights: dict[tuple[str, str], int],
                 key = tuple(sorted((a, b)))
                 moved[key] = moved.get(key, 0) + n
         weights = moved
+    return owner
 
 
 def components_strong(nodes: DataFrame, edges: DataFrame, most_rounds: int = 200) -> DataFrame:
@@ -109,8 +107,8 @@ def _spread(values: DataFrame, arcs: DataFrame, most_rounds: int) -> DataFrame:
     raise RuntimeError("values did not settle")
 
 
-def layers(items: DataFrame, rules: dict[str, list[str]], text: Column, alone: str = "tests") -> DataFrame:
-    """items with `layer`: the one rule of which a keyword occurs in the text; `alone` and another, several or none are unclassified."""
+def layers(items: DataFrame, rules: dict[str, list[str]], text: Column) -> DataFrame:
+    """items with `layer`: the one rule of which a keyword occurs in the text; several or none make it unclassified."""
     hits = F.filter(F.array(*(F.when(text.rlike("|".join(words)), F.lit(name)) for name, words in rules.items())), lambda x: x.isNotNull())
     return items.withColumn("layer", F.when(F.size(hits) == 1, F.element_at(hits, 1)).otherwise("unclassified"))
 
@@ -158,5 +156,5 @@ def longest_prefix(paths: DataFrame, roots: DataFrame, path: str, root: str) ->
 
 
 def tier_budget(rows: DataFrame, tier: str, key: str, budget: int) -> DataFrame:
-    """Rows within the budget, filled tier by tier and by key; two-step ranks keep large tiers off one task."""
+    """Rows within the budget, filled tier by tier and by key: each partition keeps its first `budget` rows, which meet in one task."""
     return rows.orderBy(tier, key).limit(budget)

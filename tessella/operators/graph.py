@@ -108,7 +108,15 @@ def rollup(edges: DataFrame, grains: dict[str, tuple[str, str]], first: int = 5)
     """
     per_level = F.explode(F.array(*(F.struct(F.lit(n).alias("level"), F.col(s).cast("string").alias("source"), F.col(t).cast("string").alias("target")) for n, (s, t) in grains.items()))).alias("g")
     rows = edges.select(per_level, "src", "dst", "kind", "confidence", "id").select("g.*", "src", "dst", "kind", "confidence", "id").where("source <> target")
-    return rows.groupBy("level", "source", "target", "kind").agg(
-        F.count("*").alias("occurrences"), F.count_distinct("src").alias("sources"), F.count_distinct("dst").alias("targets"), F.min("confidence").alias("least"), F.max("confidence").alias("most"),
-        F.array_join(F.slice(F.array_sort(F.collect_set("id")), 1, first), ",").alias("contributors"), (F.count_distinct("id") > first).alias("truncated"),
-    )
+    group = ["level", "source", "target", "kind"]
+    pairs = rows.groupBy(*group, "src", "dst").agg(F.count("*").alias("n"), F.min("confidence").alias("least"), F.max("confidence").alias("most"))
+    by_src = pairs.groupBy(*group, "src").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"))
+    sums = by_src.groupBy(*group).agg(F.sum("n").alias("occurrences"), F.count("*").alias("sources"), F.min("least").alias("least"), F.max("most").alias("most"))
+    targets = pairs.select(*group, "dst").distinct().groupBy(*group).agg(F.count("*").alias("targets"))
+    # ids: the first of each group by a rank whose rows are cut before they are shuffled
+    rank = F.dense_rank().over(Window.partitionBy(*group).orderBy("id"))
+    few = rows.select(*group, "id").withColumn("rank", rank).where(F.col("rank") <= first + 1).distinct()
+    ids = few.groupBy(*group).agg(F.array_join(F.slice(F.array_sort(F.collect_list("id")), 1, first), ",").alias("contributors"), (F.count("*") > first).alias("truncated"))
+    same = lambda other: [F.col(f"sums.{c}").eqNullSafe(F.col(f"{other}.{c}")) for c in group]
+    met = sums.alias("sums").join(targets.alias("t"), same("t")).join(ids.alias("i"), same("i"))
+    return met.select("sums.*", "t.targets", "i.contributors", "i.truncated").select(*group, "occurrences", "sources", "targets", "least", "most", "contributors", "truncated")

@@ -28,9 +28,12 @@ def representatives(anchors: DataFrame, chunks: DataFrame) -> DataFrame:
 
     anchors: (anchor, path); chunks: (chunk, path, start_line, symbol), symbol null where a chunk defines nothing.
     """
-    met = anchors.join(chunks, "path")
-    role = F.when(F.col("symbol") == F.col("anchor"), 0).when(F.col("symbol").isNotNull(), 1).otherwise(2)
-    best = met.groupBy("anchor").agg(F.min(F.struct(role.alias("r"), "start_line", "chunk")).alias("b"))
+    # an anchor meets its own chunks and one chunk of its file, so a long file isn't paired with itself
+    of = F.struct(F.when(F.col("symbol").isNotNull(), 1).otherwise(2).alias("r"), "start_line", "chunk")
+    firsts = chunks.groupBy(F.col("path").alias("_p")).agg(F.min(of).alias("file"))
+    own = chunks.where("symbol IS NOT NULL").groupBy(F.col("path").alias("_p"), F.col("symbol").alias("_s")).agg(F.min(F.struct(F.lit(0).alias("r"), "start_line", "chunk")).alias("own"))
+    met = anchors.join(firsts, anchors["path"] == firsts["_p"]).drop("_p").join(own, (F.col("path") == F.col("_p")) & (F.col("anchor") == F.col("_s")), "left")
+    best = met.groupBy("anchor").agg(F.min(F.coalesce("own", "file")).alias("b"))
     return best.select("anchor", F.col("b.chunk").alias("chunk"), F.element_at(F.array(F.lit("direct"), F.lit("definition"), F.lit("file")), F.col("b.r") + 1).alias("role"))
 
 

@@ -48,7 +48,7 @@ def parsed(spark: SparkSession, scanned: DataFrame, most_lines: int = chunk.MOST
     by_symbol = own.join(texts.select("path", lines(F.col("text")).alias("ls")), "path").select("path", F.col("a").alias("start_line"), F.col("b").alias("end_line"), F.array_join(F.slice("ls", F.col("a"), F.col("b") - F.col("a") + 1), "\n").alias("text"), "symbol_id")
     rest = texts.join(own.select("path").distinct(), "path", "left_anti")
     markdown = rest.where("language = 'markdown'")
-    runs = chunk.paragraph_chunks(markdown, F.trim("line") == "").drop("ordinal")
+    runs = chunk.paragraph_chunks(markdown).drop("ordinal")
     paragraphs = runs.join(markdown.select("path", lines(F.col("text")).alias("ls")), "path").select("path", "start_line", "end_line", F.array_join(F.slice("ls", F.col("start_line"), F.col("end_line") - F.col("start_line") + 1), "\n").alias("text"), F.lit(None).cast("string").alias("symbol_id"))
     windows = chunk.window_chunks(rest.where("language <> 'markdown'")).select("path", "start_line", "end_line", "text", F.lit(None).cast("string").alias("symbol_id"))
     every = by_symbol.unionByName(paragraphs).unionByName(windows)

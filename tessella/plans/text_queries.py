@@ -14,9 +14,9 @@ from tessella.sources.tables import table
 from .registry import query
 
 #: DuckDB: distinct tokens of one match `w`.
-MATCH = r"""list_distinct([w, lower(regexp_replace(w,'[ßẞ]','ss','g'))] || flatten(list_transform(flatten(list_transform(list_filter(string_split_regex(w,'[_./:\-]+'), lambda s: s <> ''),
+MATCH = r"""list_distinct([w, lower(regexp_replace(w,'[ßẞ]','ss','g'))] || flatten(list_transform(flatten(list_transform(list_filter(string_split_regex(w,'[_./:\\-]+'), lambda s: s <> ''),
  lambda g: string_split(regexp_replace(regexp_replace(g,'([A-Z]+)([A-Z][a-z])','\1 \2','g'),'([a-z0-9])([A-Z])','\1 \2','g'),' '))), lambda p: [p, lower(regexp_replace(p,'[ßẞ]','ss','g'))])))"""
-MATCHES = r"unnest(regexp_extract_all(text,'[\p{L}\p{N}_]+(?:(?:::|[./:\-])[\p{L}\p{N}_]+)*')) AS w"
+MATCHES = r"unnest(regexp_extract_all(text,'[\p{L}\p{N}_]+(?:(?:::|[./:\\-])[\p{L}\p{N}_]+)*')) AS w"
 
 
 def term_rows(relation: str, key: str) -> str:
@@ -84,23 +84,26 @@ def q_in_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT doc_id, count(*)::BIGINT AS n_tokens, count(DISTINCT term)::BIGINT AS n_distinct FROM ({term_rows('documents', 'doc_id')}) GROUP BY doc_id")
 def q_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", tokens(F.col("text")).alias("t")).where(F.size("t") > 0)
-    return rows.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(tokens(F.col("text")))).alias("t"))  # an explode, so tokens are made once
+    return rows.where(F.size("t") > 0).select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"))
 
 
-@query(f"""WITH l AS (SELECT {PATH} AS path, {LINES} AS ls FROM documents WHERE text <> ''),
-c AS (SELECT path, ls, unnest(range(0, CASE WHEN len(ls) <= 8 THEN 1 ELSE ceil((len(ls)-8)/6.0)::BIGINT+1 END)) AS o FROM l)
-SELECT path, o::BIGINT AS ordinal, (6*o+1)::BIGINT AS start_line, least(6*o+8,len(ls))::BIGINT AS end_line, sha256(array_to_string(ls[6*o+1:6*o+8], '\n')) AS hash FROM c""")
+@query(f"""WITH d AS (SELECT source, doc_id, CASE WHEN doc_id % 3 = 0 THEN text || repeat(chr(10) || ' ' || chr(9), 25) || chr(10) || 'end' ELSE text END AS text FROM documents), l AS (SELECT {PATH} AS path, {LINES} AS ls FROM d WHERE text <> ''),
+c AS (SELECT path, ls, unnest(range(0, CASE WHEN len(ls) <= 8 THEN 1 ELSE ceil((len(ls)-8)/6.0)::BIGINT+1 END)) AS o FROM l), w AS (SELECT *, array_to_string(ls[6*o+1:6*o+8], '\n') AS text FROM c)
+SELECT path, o::BIGINT AS ordinal, (6*o+1)::BIGINT AS start_line, least(6*o+8,len(ls))::BIGINT AS end_line, sha256(text) AS hash FROM w WHERE regexp_matches(text, '[^ \t\n]')""")
 def q_chunk_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = chunk.window_chunks(files(spark, sf_dir), 8, 2)
+    gap = F.concat("text", F.repeat(F.lit("\n \t"), 25), F.lit("\nend"))  # some files get windows that are blank
+    rows = files(spark, sf_dir).withColumn("text", F.when(F.col("doc_id") % 3 == 0, gap).otherwise(F.col("text")))
+    chunks = chunk.window_chunks(rows, 8, 2)
     return chunks.select("path", *(F.col(c).cast("long").alias(c) for c in ("ordinal", "start_line", "end_line")), F.sha2("text", 256).alias("hash"))
 
 
-@query(f"""WITH l AS (SELECT {PATH} AS path, {LINES} AS ls FROM documents WHERE text <> ''), e AS (SELECT path, unnest(ls) AS line, generate_subscripts(ls,1) AS n FROM l),
-f AS (SELECT path, n, (length(line) < 60)::INT AS cut FROM e), g AS (SELECT path, n, cut, sum(cut) OVER (PARTITION BY path ORDER BY n) AS island FROM f)
+@query(f"""WITH d AS (SELECT source, doc_id, replace(replace(text, ', ', ',' || chr(10) || '# '), '. ', '.' || chr(10) || ' ' || chr(10)) AS text FROM documents), l AS (SELECT {PATH} AS path, {LINES} AS ls FROM d WHERE text <> ''), e AS (SELECT path, unnest(ls) AS line, generate_subscripts(ls,1) AS n FROM l),
+f AS (SELECT path, n, (NOT regexp_matches(line, '[^ \t]'))::INT AS cut, (NOT regexp_matches(line, '[^ \t]') OR regexp_matches(line, '^ {{0,3}}#{{1,6}}([ \t]|$)'))::INT AS new FROM e), g AS (SELECT path, n, cut, sum(new) OVER (PARTITION BY path ORDER BY n) AS island FROM f)
 SELECT path, min(n)::BIGINT AS start_line, max(n)::BIGINT AS end_line, (row_number() OVER (PARTITION BY path ORDER BY min(n)) - 1)::BIGINT AS ordinal FROM g WHERE cut = 0 GROUP BY path, island""")
 def q_chunk_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = chunk.paragraph_chunks(files(spark, sf_dir), F.length("line") < 60)
+    parts = F.replace(F.replace("text", F.lit(", "), F.lit(",\n# ")), F.lit(". "), F.lit(".\n \n"))  # clauses as headings, sentences between blank lines
+    runs = chunk.paragraph_chunks(files(spark, sf_dir).withColumn("text", parts))
     return runs.select("path", *(F.col(c).cast("long").alias(c) for c in ("start_line", "end_line", "ordinal")))
 
 

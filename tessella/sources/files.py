@@ -11,14 +11,39 @@ from tessella.functions.text import glob_regex
 
 MOST_BYTES = 1_000_000
 #: Directories that a scan leaves out unless asked for.
-EXCLUDED = (".git", ".hg", ".svn", ".mypy_cache", ".pytest_cache", ".ruff_cache", ".tox", ".venv", "__pycache__", "build", "dist", "node_modules", "target", "venv")
+EXCLUDED = (".git", ".mypy_cache", ".nox", ".pytest_cache", ".ruff_cache", ".tessella", ".tox", ".venv", "__pycache__", "build", "dist", "node_modules", "vendor", "venv")
 #: Languages by suffix, by file name.
 SUFFIXES = {
-    "c": "c", "h": "c", "cc": "cpp", "cpp": "cpp", "hpp": "cpp", "cs": "csharp", "css": "css", "go": "go", "html": "html", "java": "java", "js": "javascript", "jsx": "javascript",
-    "json": "json", "kt": "kotlin", "md": "markdown", "php": "php", "py": "python", "rb": "ruby", "rs": "rust", "sh": "shell", "sql": "sql", "swift": "swift", "toml": "toml",
-    "ts": "typescript", "tsx": "typescript", "txt": "text", "yaml": "yaml", "yml": "yaml",
-}
-NAMES = {"dockerfile": "dockerfile", "makefile": "makefile", "gemfile": "ruby"}
+    "bash": "shell",
+    "c": "c",
+    "cc": "cpp",
+    "cpp": "cpp",
+    "css": "css",
+    "go": "go",
+    "h": "c",
+    "hpp": "cpp",
+    "html": "html",
+    "java": "java",
+    "js": "javascript",
+    "json": "json",
+    "jsonl": "json",
+    "jsx": "jsx",
+    "md": "markdown",
+    "mdx": "markdown",
+    "py": "python",
+    "pyi": "python",
+    "rs": "rust",
+    "sh": "shell",
+    "sql": "sql",
+    "toml": "toml",
+    "ts": "typescript",
+    "tsx": "tsx",
+    "txt": "text",
+    "yaml": "yaml",
+    "yml": "yaml",
+    "zsh": "shell",
+}
+NAMES = {"dockerfile": "dockerfile", "gemfile": "ruby", "makefile": "makefile"}
 
 
 def _lookup(table: dict[str, str]) -> Column:

@@ -13,7 +13,9 @@ from tessella.operators import chunk
         ("HTTPServer", "HTTPServer httpserver HTTP http Server server"),
         ("http_server", "http_server http server"),
         ("path/to/file.py", "path/to/file.py path to file py"),
-        ("数据处理器 café_Éclair", "数据处理器 café_Éclair café_éclair café Éclair éclair"),
+        ("Größe_Ähre 文字列", "Größe_Ähre grösse_ähre Größe grösse Ähre ähre 文字列"),
+        ("dir\\Name.txt", "dir\\Name.txt dir\\name.txt dir Name name txt"),
+        ("plain words2", "plain words2"),
         ("{} [] () :: -> +=", ""),
     ],
 )
@@ -57,11 +59,17 @@ def test_windows(spark, n):
 
 def test_paragraphs_and_blank_windows(spark):
     files = spark.createDataFrame([("f", "# t\n\na\nb\n\n\nc"), ("g", " \n\n")], "path string, text string")
-    rows = chunk.paragraph_chunks(files, F.trim("line") == "").orderBy("path", "ordinal").collect()
+    rows = chunk.paragraph_chunks(files).orderBy("path", "ordinal").collect()
     assert [(r.path, r.start_line, r.end_line) for r in rows] == [("f", 1, 1), ("f", 3, 4), ("f", 7, 7)]
     assert chunk.window_chunks(files).select("path").collect() == [("f",)]
 
 
+def test_headings_begin_paragraphs(spark):
+    text = "intro\n# One\nmore\n   ###### Six\n####### seven marks\n    # indented\n\t \n#\n#x"
+    rows = chunk.paragraph_chunks(spark.createDataFrame([("f", text)], "path string, text string")).orderBy("ordinal").collect()
+    assert [(r.start_line, r.end_line) for r in rows] == [(1, 1), (2, 3), (4, 6), (8, 9)]
+
+
 def test_rebuilt_fills_gaps(spark):
     chunks = spark.createDataFrame([("f", 0, 1, "a\nb"), ("f", 1, 2, "B\nc"), ("f", 2, 5, "e")], "path string, ordinal int, start_line int, text string")
     assert chunk.rebuilt(chunks).first().text == "a\nb\nc\n\ne"

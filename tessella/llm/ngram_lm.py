@@ -9,13 +9,17 @@ d(r) discounts counts of 1 to K by Good-Turing (Katz 1987), by level, and is 1 a
 At least one count of 1 keeps a little mass free, so that every probability is positive. alpha(h) spreads what h's discounts freed over
 the words not seen after h, so that P(. | h) sums to 1 over the vocabulary and the class of other words. Documents start with order - 1 starts.
 
-How it runs: documents are packed into blocks (an Arrow table of about a million tokens: its distinct word hashes, and tokens as indices), written once. Blocks
-ask for what they need by key, in a round for each level: the counts of their words (dealt by word), then the counts and context sums of their
-bigrams, trigrams and so on (dealt by context, split by a salt of the next word so that a frequent context is many tasks' work). A question brings the
-probability of each n-gram's word after the shorter history, which the answers of the level below gave. Answers come back as arrays in the order of
-the question. Each block is then scored by itself, level by level. Shuffled volume grows with the tokens and the order, a task's with the block.
+How it runs: documents are packed into blocks (an Arrow table of half a million tokens: its distinct word hashes, and tokens as indices), written once.
+Blocks ask for what they need by key, in a round for each level: the ids and counts of their words (dealt by word; ids rise as counts fall), then the
+counts and context sums of their bigrams, trigrams and so on (dealt by context, split by a salt of the next word so that a frequent context is many
+tasks' work). N-grams travel as ids in sorted order, packed by byte plane, so frequent words cost little. An n-gram's training count after the shorter
+history travels too: of n-grams that were seen it gives P(w | h') but for a factor of h', which the block knows. Answers come back as arrays in the
+order of the question. Each block is then scored by itself, level by level. Shuffled volume grows with the tokens and the order, a task's with the block.
+Blocks and buckets both grow with the input, so messages grow with its square (each smaller): at 30 GB some hundred n-grams are in one.
 
-Words and contexts are identified by 64-bit hashes, the next word within a context by 44 bits. Rows of one doc_id make one document (their sums are
+The model: a table of words (kind = 'word') and one of each longer level (kind = 'gram'), packed by bucket; `opened_words` and `opened_grams` give them as rows.
+
+Words and contexts are identified by 64-bit hashes, the latter of exact ids. Rows of one doc_id make one document (their sums are
 added); null ids are one document; a null text is empty and has the end token alone. An empty table gives no rows; without any training
 text every word is unknown. Other columns are ignored.
 """
@@ -36,11 +40,12 @@ from .common import arrow_rows, bucketed, hashes, mix, slices, words_of, written
 #: Counts up to this are discounted.
 K = 5
 #: Tokens after which a block is closed.
-BLOCK_TOKENS = 1_000_000
+BLOCK_TOKENS = 500_000
+#: Contexts, of a level, whose sums are brought to the driver at most: a context is frequent from 1 / MOST_FREQUENT of all training tokens on.
+MOST_FREQUENT = 10_000
 START, END = "\n", ""  # no word is spelt so
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-BLOCKS = "block string, ids binary, train binary, ends binary, words binary, tokens binary"
-NO_ID = -(2**63)
+BLOCKS = "block string, ids binary, nulls binary, train binary, ends binary, words binary, tokens binary"
 
 
 def packed(a: np.ndarray) -> bytes:
@@ -92,24 +97,21 @@ class Words:
         return np.log10((counts + 0.5) / (self.total + 0.5 * (self.distinct + 1)))
 
 
-def backoff(counts: np.ndarray, sums: np.ndarray, seen: np.ndarray, d: Discounts) -> tuple[np.ndarray, np.ndarray]:
-    """(alpha, scale) of contexts: their counts, how many of their bigrams occur r = 1..K times, the sum of P over the words seen after them.
+def backoff(counts: np.ndarray, sums: np.ndarray, d: Discounts) -> tuple[np.ndarray, np.ndarray]:
+    """(free, scale) of contexts: their counts, how many of their n-grams occur r = 1..K times.
 
-    A context whose counts free nothing gives up 1 / (count + 1) of its mass, all its bigrams being scaled.
+    A context whose counts free nothing gives up 1 / (count + 1) of its mass, all its n-grams being scaled.
     """
-    some = np.maximum(counts, 1)
-    free = (sums * d.freed[1:]).sum(axis=1) / some
-    scale = np.where(free > 0, 1.0, counts / (counts + 1.0))
-    free = np.where(free > 0, free, 1 / (counts + 1.0))
-    return np.where(counts > 0, free / np.maximum(1 - seen, 1e-300), 1.0), scale
+    free = (sums * d.freed[1:]).sum(axis=1) / np.maximum(counts, 1)
+    return np.where(free > 0, free, 1 / (counts + 1.0)), np.where(free > 0, 1.0, counts / (counts + 1.0))
 
 
 class Block:
-    """A block's arrays and its distinct bigrams in the order in which it asks for them."""
+    """A block's arrays."""
 
     def __init__(self, row: dict):
-        self.ids, self.train = unpacked(row["ids"], "<i8"), unpacked(row["train"], "u1") > 0
-        self.ends, self.words, self.tokens = unpacked(row["ends"], "<i8"), unpacked(row["words"], "<u8"), unpacked(row["tokens"], "<u4")
+        self.ids, self.nulls, self.train = unpacked(row["ids"], "<i8"), unpacked(row["nulls"], "u1") > 0, unpacked(row["train"], "u1") > 0
+        self.ends, self.words, self.tokens = unpacked(row["ends"], "<i8"), unpacked(row["words"], "<u8"), unpacked(row["tokens"], "<u4").astype(np.int32)
         self.starts = np.concatenate(([0], self.ends[:-1]))
         self.trained = np.repeat(self.train, np.diff(np.concatenate(([0], self.ends))))
 
@@ -117,31 +119,55 @@ class Block:
         """An order of the words by bucket, and where each bucket starts in it."""
         return dealt(mix(self.words), buckets)
 
-    def grams(self, before: np.ndarray, n: int) -> np.ndarray:
-        """A code of each token's n-gram: index of the shorter n-gram that ends before it (n, their number: only starts), index of the word."""
+    def grams(self, below: "Level") -> np.ndarray:
+        """A code of each token's n-gram: index of the shorter n-gram that ends before it (or that of starts only), index of the word."""
         context = np.empty(len(self.tokens), np.uint64)
-        context[1:] = before[:-1]
-        context[self.starts] = n
-        return context << np.uint64(32) | self.tokens
-
-    def by_context(self, codes: np.ndarray, below: "Level", buckets: int, frequent: int) -> tuple:
-        """(context index, word index, order by bucket, starts, parts): distinct n-grams' places. A context of more than `frequent` tokens is several, by its next word."""
-        v, w = (codes >> np.uint64(32)).astype(np.int32), (codes & np.uint64(0xFFFFFFFF)).astype(np.int32)
-        parts = below.ofcontext // frequent + 1
-        salt = mix(self.words)[w] % parts[v].astype(np.uint64)
-        order, starts = dealt(mix(below.keys[v] + salt * GOLDEN), buckets)
-        return v, w, order, starts, parts
+        context[1:] = below.index[:-1]
+        context[self.starts] = len(below.counts)
+        return context << np.uint64(32) | self.tokens.astype(np.uint64)
 
 
 @dataclass
 class Level:
-    """A block's n-grams of one length: each token's (index), their training counts and probabilities. keys, ofcontext: of the n-grams as contexts, the last of starts only."""
+    """A block's n-grams of one length in the order of their words' ids: each token's (index), their training counts and probabilities.
+
+    As contexts, that of starts only last: columns (ids of their words), keys (hashes of these), ofcontext (counts), and `lower`: P(w | h') of a
+    seen w over its discounted count after h', the context without its first word.
+    """
 
     index: np.ndarray
     counts: np.ndarray
     p: np.ndarray
-    keys: np.ndarray
+    columns: list[np.ndarray]
     ofcontext: np.ndarray
+    lower: np.ndarray
+
+    def keys(self) -> np.ndarray:
+        return context_keys(self.columns)
+
+
+def context_keys(columns: list[np.ndarray]) -> np.ndarray:
+    """64-bit hashes of contexts, given the ids of their words."""
+    out = np.zeros(len(columns[0]), np.uint64)
+    with np.errstate(over="ignore"):
+        for c in columns:
+            out = mix(out * GOLDEN + c + np.uint64(1))
+    return out
+
+
+def asked(codes: np.ndarray, below: Level, ids: np.ndarray, buckets: int, frequent: int) -> tuple:
+    """(own, v, w, order, starts, parts): places of distinct n-grams whose contexts were seen, their context and word, an order by bucket, where buckets start.
+
+    parts: in how many parts each context is dealt, by its next word; a context of more than `frequent` tokens is several.
+    """
+    v = (codes >> np.uint64(32)).astype(np.int32)
+    own = np.flatnonzero(below.ofcontext[v] > 0)
+    v, w = v[own], (codes[own] & np.uint64(0xFFFFFFFF)).astype(np.int32)
+    parts = below.ofcontext // frequent + 1
+    salt = mix(ids)[w] % parts[v].astype(np.uint64)
+    with np.errstate(over="ignore"):
+        order, starts = dealt(mix(below.keys()[v] + salt * GOLDEN), buckets)
+    return own, v, w, order, starts, parts
 
 
 def dealt(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -156,9 +182,9 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = 0
 
     def block() -> pa.RecordBatch:
-        ids, train, lengths, tokens = (np.concatenate(x) for x in zip(*parts, strict=True))
+        ids, nulls, train, lengths, tokens = (np.concatenate(x) for x in zip(*parts, strict=True))
         words, index = np.unique(tokens, return_inverse=True)
-        arrays = (ids.astype("<i8"), train.astype("u1"), np.cumsum(lengths).astype("<i8"), words.astype("<u8"), index.astype("<u4"))
+        arrays = (ids.astype("<i8"), nulls.astype("u1"), train.astype("u1"), np.cumsum(lengths).astype("<i8"), words.astype("<u8"), index.astype("<u4"))
         return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), *(pa.array([packed(a)], pa.binary()) for a in arrays)], [x.split()[0] for x in BLOCKS.split(", ")])
 
     for batch in slices(batches, "text"):
@@ -166,7 +192,8 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coded = flat.dictionary_encode()
         table = hashes(coded.dictionary.to_pylist())
         tokens = table[coded.indices.to_numpy(zero_copy_only=False)] if len(table) else np.zeros(0, np.uint64)
-        parts.append((batch.column("id").to_numpy(), batch.column("train").to_numpy(zero_copy_only=False), np.diff(at) + 1, np.insert(tokens, at[1:], end)))
+        own = batch.column("id")
+        parts.append((own.fill_null(0).to_numpy(), own.is_null().to_numpy(zero_copy_only=False), batch.column("train").to_numpy(zero_copy_only=False), np.diff(at) + 1, np.insert(tokens, at[1:], end)))
         size += len(tokens) + batch.num_rows
         if size >= BLOCK_TOKENS:
             yield block()
@@ -183,9 +210,9 @@ def _rows(names: str, rows: list[tuple]) -> pa.RecordBatch:
 
 
 ASK1 = "bucket int, block string, words binary, counts binary"
-TABLE1 = "kind string, bucket int, block string, words binary, counts binary, n array<long>, total long, distinct long"
+TABLE1 = "kind string, bucket int, block string, words binary, ranks binary, counts binary, n array<long>, total long, distinct long"
 ASK2 = "bucket int, block string, contexts binary, sizes binary, nexts binary, lower binary, counts binary, shared binary"
-TABLE2 = "kind string, bucket int, block string, contexts binary, sizes binary, nexts binary, counts binary, sums binary, seen binary, n array<long>"
+TABLE2 = "kind string, bucket int, block string, contexts binary, sizes binary, nexts binary, counts binary, sums binary, backs binary, seen binary, n array<long>"
 
 
 def _ask_words(buckets: int):  # noqa: ANN202
@@ -205,71 +232,102 @@ def _of_counts(counts: np.ndarray) -> list[int]:
 
 
 def _answer_words(table: pa.Table) -> pa.Table:
+    """Counts of words, and their ranks by descending count within the bucket."""
     blocks, bucket = table["block"].to_pylist(), table["bucket"][0].as_py()
     words = [unpacked(x, "<u8") for x in table["words"].to_pylist()]
     keys, index = np.unique(np.concatenate(words), return_inverse=True)
     counts = np.zeros(len(keys), np.int64)
     np.add.at(counts, index, np.concatenate([unpacked(x, "<i8") for x in table["counts"].to_pylist()]))
+    by = np.argsort(-counts, kind="stable")
+    ranks = np.empty(len(keys), np.int64)
+    ranks[by] = np.arange(len(keys))
     ends = np.cumsum([len(w) for w in words])
-    rows = [("answer", bucket, block, None, packed(counts[index[e - len(w) : e]]), None, None, None) for block, w, e in zip(blocks, words, ends, strict=True)]
-    own = counts > 0
-    rows.append(("word", bucket, None, packed(keys[own]), packed(counts[own]), _of_counts(counts), int(counts.sum()), int(own.sum())))
+    rows = [("answer", bucket, block, None, packed(ranks[index[e - len(w) : e]]), packed(counts[index[e - len(w) : e]]), None, None, None) for block, w, e in zip(blocks, words, ends, strict=True)]
+    own = by[counts[by] > 0]
+    rows.append(("word", bucket, None, packed(keys[own]), None, packed(counts[own]), _of_counts(counts), int(counts.sum()), len(own)))
     return pa.Table.from_batches([_rows(TABLE1, rows)])
 
 
-def _counts_of(b: Block, answers: list[dict], buckets: int) -> np.ndarray:
-    """The answers of round 1 in the order of the block's words."""
+def word_id(ranks: np.ndarray, bucket: int, buckets: int) -> np.ndarray:
+    """0 is the start; then the first of each bucket, the second of each and so on."""
+    return ranks.astype(np.uint64) * np.uint64(buckets) + np.uint64(bucket + 1)
+
+
+def _words_of(b: Block, answers: list[dict], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The answers of round 1 in the order of the block's words: ids and counts."""
     order, starts = b.by_word(buckets)
-    counts = np.zeros(len(b.words), np.int64)
+    ids, counts = np.zeros(len(b.words), np.uint64), np.zeros(len(b.words), np.int64)
     for a in answers:
-        counts[order[starts[a["bucket"]] : starts[a["bucket"] + 1]]] = unpacked(a["counts"], "<i8")
-    return counts
+        at = order[starts[a["bucket"]] : starts[a["bucket"] + 1]]
+        ids[at], counts[at] = word_id(unpacked(a["ranks"], "<i8"), a["bucket"], buckets), unpacked(a["counts"], "<i8")
+    return ids, counts
 
 
 @dataclass
 class Known:
-    """What is known of the levels below the next one: the words' model and the discounts of the longer n-grams, whose rounds have been answered."""
+    """What is known of the levels below the next one: the words' model, and the discounts and frequent contexts (keys, sums, seen) of the longer n-grams whose rounds have been answered."""
 
     word_buckets: int
     frequent: int
     model: Words
     discounts: list[Discounts]
+    shared: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
 
     def buckets(self, n: int) -> int:
         """Longer n-grams are more of them."""
         return self.word_buckets * (n - 1)
 
-    def level(self, b: Block, row: dict) -> Level:
-        """The block's n-grams of the longest length known."""
-        counts = _counts_of(b, row["answers"], self.word_buckets)
-        end = counts[np.searchsorted(b.words, hashes([END])[0])]  # as many starts as ends
-        out = Level(b.tokens, counts, self.model.p(counts), np.append(b.words, hashes([START])), np.append(counts, end))
-        for n, d in enumerate(self.discounts, 2):
-            out = self._longer(b, out, row[f"grams{n}"] or [], row[f"frequent{n}"] or [], self.buckets(n), d)
-        return out
-
-    def _longer(self, b: Block, below: Level, answers: list[dict], frequent: list[dict], buckets: int, d: Discounts) -> Level:
-        codes, index = np.unique(b.grams(below.index, len(below.counts)), return_inverse=True)
-        v, w, order, starts, parts = b.by_context(codes, below, buckets, self.frequent)
-        total, sums, seen = np.zeros(len(codes), np.int64), np.zeros((len(below.keys), K), np.int64), np.zeros(len(below.keys))
+    def level(self, b: Block, row: dict) -> tuple[Level, np.ndarray]:
+        """The block's n-grams of the longest length known; ids of its words, which are sorted by them now."""
+        ids, counts = _words_of(b, row["answers"], self.word_buckets)
+        end = int(np.searchsorted(b.words, hashes([END])[0]))
+        starts = counts[end]  # as many starts as ends
+        order = np.argsort(ids)
+        place = np.empty(len(ids), np.int32)
+        place[order] = np.arange(len(ids))
+        b.tokens, ids, counts = place[b.tokens], ids[order], counts[order]
+        lower = np.full(len(ids) + 1, self.model.scale / max(self.model.total, 1))
+        out = Level(b.tokens, counts, self.model.p(counts), [np.append(ids, np.uint64(0))], np.append(counts, starts), lower)
+        before = None
+        for n, (d, shared) in enumerate(zip(self.discounts, self.shared, strict=True), 2):
+            before, out = out, self._longer(b, before, out, ids, row[f"grams{n}"] or [], n, d, shared)
+        return out, ids
+
+    def _longer(self, b: Block, before: Level | None, below: Level, ids: np.ndarray, answers: list[dict], n: int, d: Discounts, shared: tuple) -> Level:
+        codes, index = np.unique(b.grams(below), return_inverse=True)
+        index = index.astype(np.int32)
+        own, v, w, order, starts, parts = asked(codes, below, ids, self.buckets(n), self.frequent)
+        total = np.zeros(len(codes), np.int64)
+        sums, seen = np.zeros((len(below.ofcontext), K), np.int64), np.zeros((len(below.ofcontext), K + 1), np.int64)
         for a in answers:
             at = order[starts[a["bucket"]] : starts[a["bucket"] + 1]]
-            total[at] = unpacked(a["counts"], "<i8")
-            own = v[at[_firsts(v[at])]]
-            sums[own], seen[own] = unpacked(a["sums"], "<i8").reshape(-1, K), unpacked(a["seen"], "<f8")
-        shared = {x["context"]: x for x in frequent}
-        for i in np.flatnonzero(parts > 1):
-            if x := shared.get(int(below.keys[i : i + 1].view(np.int64)[0])):  # the end is no context
-                sums[i], seen[i] = x["sums"], x["seen"]
-        alpha, scale = backoff(below.ofcontext, sums, seen, d)
+            total[own[at]] = unpacked(a["counts"], "<i8")
+            context = v[at[_firsts(v[at])]]
+            sums[context] = unpacked(a["sums"], "<i8").reshape(-1, K)
+            seen[context[unpacked(a["backs"], "u1") > 0]] = unpacked(a["seen"], "<i8").reshape(-1, K + 1)
+        keys, some, more = shared
+        split = np.flatnonzero(parts > 1)
+        if len(split) and len(keys):
+            wanted = below.keys()[split]
+            at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+            hit = keys[at] == wanted  # the end is no context
+            sums[split[hit]], seen[split[hit]] = some[at[hit]], more[at[hit]]
+        smaller = self.discounts[n - 3] if n > 2 else self.model.d
+        mass = (seen[:, :K] * (np.arange(1, K + 1) * smaller.ratio[1:])).sum(axis=1) + seen[:, K]
+        free, scale = backoff(below.ofcontext, sums, d)
+        alpha = np.where(below.ofcontext > 0, free / np.maximum(1 - below.lower * mass, 1e-300), 1.0)
+        context = (codes >> np.uint64(32)).astype(np.int32)
         p = np.empty(len(codes))
         p[index] = below.p[below.index]
-        p *= alpha[v]
-        own = np.flatnonzero(total)
-        p[own] = d.kept(total[own]) * scale[v[own]] / below.ofcontext[v[own]]
-        with np.errstate(over="ignore"):
-            keys = mix(below.keys[np.append(v, -1)] * GOLDEN + mix(np.append(b.words[w], hashes([START]))))
-        return Level(index, total, p, keys, np.append(total, below.ofcontext[-1]))
+        p *= alpha[context]
+        hit = np.flatnonzero(total)
+        factor = scale / np.maximum(below.ofcontext, 1)
+        p[hit] = d.kept(total[hit]) * factor[context[hit]]
+        word = (codes & np.uint64(0xFFFFFFFF)).astype(np.int32)
+        columns = [np.append(c[context], np.uint64(0)) for c in below.columns] + [np.append(ids[word], np.uint64(0))]
+        lower = np.empty(len(codes) + 1)
+        lower[index], lower[-1] = factor[below.index], factor[-1]  # h' of an n-gram as a context is the shorter one that ends with it
+        return Level(index, total, p, columns, np.append(total, below.ofcontext[-1]), lower)
 
 
 def _ask_grams(known: Known):  # noqa: ANN202
@@ -279,90 +337,101 @@ def _ask_grams(known: Known):  # noqa: ANN202
         for batch in batches:
             for row in batch.to_pylist():
                 b = Block(row)
-                below = known.level(b, row)
-                codes = b.grams(below.index, len(below.counts))
-                by = np.argsort(codes, kind="stable")
-                first = _firsts(codes[by])
-                train = np.add.reduceat(b.trained[by].astype(np.int64), first)
-                at = below.index[by[first]]
-                lower = below.counts[at] if n == 2 else np.where(train > 0, below.p[at], 0.0)  # of a word its count says as much
-                v, w, order, starts, parts = b.by_context(codes[by[first]], below, known.buckets(n), known.frequent)
-                low, out = b.words >> np.uint64(20), []  # rises with the word's index, so runs compress
+                below, ids = known.level(b, row)
+                codes, index = np.unique(b.grams(below), return_inverse=True)
+                train = np.bincount(index[b.trained], minlength=len(codes))
+                lower = np.zeros(len(codes), np.int64)
+                lower[index[b.trained]] = below.counts[below.index[b.trained]]
+                own, v, w, order, starts, parts = asked(codes, below, ids, known.buckets(n), known.frequent)
+                train, lower, out = train[own], lower[own], []
                 for i, (lo, hi) in enumerate(zip(starts[:-1], starts[1:], strict=True)):
                     if hi > lo:
                         at = order[lo:hi]
                         new = _firsts(v[at])
-                        own = v[at[new]]
-                        out.append((i, row["block"], packed(below.keys[own]), packed(np.diff(np.append(new, len(at))).astype("<u4")), packed(low[w[at]]), packed(lower[at]), packed(train[at]), packed((parts[own] > 1).astype("u1"))))
+                        context = v[at[new]]
+                        blobs = [_columns([c[context] for c in below.columns]), packed(np.diff(np.append(new, len(at))).astype("<u4")), packed(ids[w[at]]), packed(lower[at]), packed(train[at]), packed((parts[context] > 1).astype("u1"))]
+                        out.append((i, row["block"], *blobs))
                 yield _rows(ASK2, out)
 
     return run
 
 
+def _columns(columns: list[np.ndarray]) -> bytes:
+    """Ids of contexts; the first column, which is sorted, as differences."""
+    return packed(np.concatenate([np.diff(columns[0], prepend=columns[0].dtype.type(0)), *columns[1:]]))
+
+
+def _open_columns(b: bytes, width: int) -> list[np.ndarray]:
+    first, *others = unpacked(b, "<u8").reshape(width, -1)
+    return [np.cumsum(first, dtype=np.uint64), *others]
+
+
 def _firsts(x: np.ndarray) -> np.ndarray:
     """Where a run of equal values begins."""
-    return np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
+    return np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))) if len(x) else np.zeros(0, np.int64)
 
 
-def _answer_grams(known: Known):  # noqa: ANN202
-    words = not known.discounts
-
+def _answer_grams(n: int):  # noqa: ANN202
     def run(table: pa.Table) -> pa.Table:
-        names, bucket = ("contexts", "sizes", "nexts", "lower", "counts", "shared"), table["bucket"][0].as_py()
-        blobs = [[unpacked(x, d) for x in table[n].to_pylist()] for n, d in zip(names, ("<u8", "<u4", "<u8", "<i8" if words else "<f8", "<i8", "u1"), strict=True)]
-        contexts, sizes, nexts, lower, counts, shared = (np.concatenate(x) for x in blobs)
-        keys, context = np.unique(contexts, return_inverse=True)
+        bucket, names = table["bucket"][0].as_py(), ("sizes", "nexts", "lower", "counts", "shared")
+        asks = [_open_columns(x, n - 1) for x in table["contexts"].to_pylist()]
+        columns = [np.concatenate(x) for x in zip(*asks, strict=True)]
+        each = [unpacked(x, "<u4").astype(np.int64) for x in table["sizes"].to_pylist()]
+        sizes, nexts, lower, counts, shared = (np.concatenate([unpacked(x, d) for x in table[c].to_pylist()]) for c, d in zip(names, ("<u4", "<u8", "<i8", "<i8", "u1"), strict=True))
+        keys, firsts, context = np.unique(context_keys(columns), return_index=True, return_inverse=True)
         v = np.repeat(context, sizes)
-        order = np.lexsort((nexts, v)) if len(keys) >= 1 << 20 else np.argsort(v.astype(np.uint64) << np.uint64(44) | nexts)
+        small = len(keys) < 1 << 24 and (not len(nexts) or int(nexts.max()) < 1 << 40)
+        order = np.argsort(v.astype(np.uint64) << np.uint64(40) | nexts) if small else np.lexsort((nexts, v))
         vs, ns = v[order], nexts[order]
         new = np.concatenate(([True], (vs[1:] != vs[:-1]) | (ns[1:] != ns[:-1])))
         first = np.flatnonzero(new)
         index = np.empty(len(order), np.int64)
         index[order] = np.cumsum(new) - 1
-        total = np.add.reduceat(counts[order], first)
-        pv, p = vs[first], known.model.p(lower[order][first]) if words else np.maximum.reduceat(lower[order], first)
-        own = total > 0
-        sums = np.zeros((len(keys), K), np.int64)
-        few = own & (total <= K)
-        np.add.at(sums, (pv[few], total[few] - 1), 1)
-        seen = np.bincount(pv[own], weights=p[own], minlength=len(keys))
+        total, below = np.add.reduceat(counts[order], first), np.maximum.reduceat(lower[order], first)
+        hit = np.flatnonzero(total)
+        pv, ns, below, own = vs[first][hit], ns[first][hit], below[hit], total[hit]
+        sums, seen = np.zeros((len(keys), K), np.int64), np.zeros((len(keys), K + 1), np.int64)
+        few, rare = own <= K, below <= K
+        np.add.at(sums, (pv[few], own[few] - 1), 1)
+        np.add.at(seen, (pv[rare], below[rare] - 1), 1)
+        np.add.at(seen, (pv[~rare], K), below[~rare])
         rows, lo, clo = [], 0, 0
-        for block, c, s in zip(table["block"].to_pylist(), blobs[0], blobs[1], strict=True):
-            n, at = int(s.sum()), context[clo : clo + len(c)]
-            found = total[index[lo : lo + n]]
-            backs_off = np.add.reduceat(found == 0, np.cumsum(s, dtype=np.int64) - s) > 0  # only there the block needs alpha
-            rows.append(("answer", bucket, block, None, None, None, packed(found), packed(sums[at].reshape(-1)), packed(np.where(backs_off, seen[at], 0.0)), None))
-            lo, clo = lo + n, clo + len(c)
-        pv, ns = pv[own], ns[first][own]
-        at = _firsts(pv) if len(pv) else np.zeros(0, np.int64)
-        rows.append(("gram", bucket, None, packed(keys[pv[at]]), packed(np.diff(np.append(at, len(pv))).astype("<u4")), packed(ns), packed(total[own]), packed(sums[pv[at]].reshape(-1)), packed(seen[pv[at]]), _of_counts(total[own])))
+        for block, s in zip(table["block"].to_pylist(), each, strict=True):
+            m, at = int(s.sum()), context[clo : clo + len(s)]
+            found = total[index[lo : lo + m]]
+            backs = np.add.reduceat(found == 0, np.cumsum(s) - s) > 0  # only there the block needs alpha
+            rows.append(("answer", bucket, block, None, None, None, packed(found), packed(sums[at].reshape(-1)), packed(backs.astype("u1")), packed(seen[at[backs]].reshape(-1)), None))
+            lo, clo = lo + m, clo + len(s)
+        at = _firsts(pv)
+        by = np.lexsort(tuple(c[firsts[pv[at]]] for c in reversed(columns)))  # contexts in the order of their ids
+        size = np.diff(np.append(at, len(pv)))
+        place = np.repeat(at[by], size[by]) + np.arange(len(pv)) - np.repeat(np.cumsum(size[by]) - size[by], size[by])
+        mine = pv[at[by]]
+        rows.append(("gram", bucket, None, _columns([c[firsts[mine]] for c in columns]), packed(size[by].astype("<u4")), packed(ns[place]), packed(own[place]), packed(sums[mine].reshape(-1)), None, packed(seen[mine].reshape(-1)), _of_counts(own)))
         several = np.unique(context[shared > 0])
-        rows.append(("part", bucket, None, packed(keys[several]), None, None, None, packed(sums[several].reshape(-1)), packed(seen[several]), None))
+        rows.append(("part", bucket, None, packed(keys[several]), None, None, None, packed(sums[several].reshape(-1)), None, packed(seen[several].reshape(-1)), None))
         return pa.Table.from_batches([_rows(TABLE2, rows)])
 
     return run
 
 
-PART = "context long, sums array<long>, seen double"
+PART = "context long, sums array<long>, seen array<long>"
 
 
 def _open_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
-            sums = unpacked(row["sums"], "<i8").reshape(-1, K).tolist()
-            rows = list(zip(unpacked(row["contexts"], "<u8").view(np.int64).tolist(), sums, unpacked(row["seen"], "<f8").tolist(), strict=True))
-            yield _rows(PART, rows)
+            sums, seen = unpacked(row["sums"], "<i8").reshape(-1, K).tolist(), unpacked(row["seen"], "<i8").reshape(-1, K + 1).tolist()
+            yield _rows(PART, list(zip(unpacked(row["contexts"], "<u8").view(np.int64).tolist(), sums, seen, strict=True)))
 
 
-def _frequent_contexts(known: Known):  # noqa: ANN202
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                below = known.level(Block(row), row)
-                keys = below.keys[below.ofcontext >= known.frequent]
-                yield _rows("block string, context long", [(row["block"], k) for k in keys.view(np.int64).tolist()])
-
-    return run
+def _frequent(grams: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, sums and seen of the contexts that several buckets hold: MOST_FREQUENT at most."""
+    parts = grams.where("kind = 'part'").select("contexts", "sums", "seen").mapInArrow(_open_parts, PART)
+    rows = parts.groupBy("context").agg(F.array(*(F.sum(F.col("sums")[r]) for r in range(K))).alias("sums"), F.array(*(F.sum(F.col("seen")[r]) for r in range(K + 1))).alias("seen")).collect()
+    keys = np.array([r.context for r in rows], np.int64).view(np.uint64)
+    by = np.argsort(keys)
+    return keys[by], np.array([r.sums for r in rows], np.int64).reshape(-1, K)[by], np.array([r.seen for r in rows], np.int64).reshape(-1, K + 1)[by]
 
 
 SCORES = "id long, n_tokens long, n_known long, base_score double, score double"
@@ -373,10 +442,11 @@ def _score(known: Known):  # noqa: ANN202
         for batch in batches:
             for row in batch.to_pylist():
                 b = Block(row)
-                counts = _counts_of(b, row["answers"], known.word_buckets)
-                longest = known.level(b, row)
-                out = [np.diff(b.ends, prepend=0), np.add.reduceat((counts > 0).astype(np.int64)[b.tokens], b.starts), np.add.reduceat(known.model.base(counts)[b.tokens], b.starts), np.add.reduceat(np.log10(longest.p)[longest.index], b.starts)]
-                yield pa.RecordBatch.from_arrays([pa.array(b.ids), *map(pa.array, out)], [x.split()[0] for x in SCORES.split(", ")])
+                counts = _words_of(b, row["answers"], known.word_buckets)[1]
+                out = [np.diff(b.ends, prepend=0), np.add.reduceat((counts > 0).astype(np.int64)[b.tokens], b.starts), np.add.reduceat(known.model.base(counts)[b.tokens], b.starts)]
+                longest, _ = known.level(b, row)
+                out.append(np.add.reduceat(np.log10(longest.p)[longest.index], b.starts))
+                yield pa.RecordBatch.from_arrays([pa.array(b.ids, mask=b.nulls), *map(pa.array, out)], [x.split()[0] for x in SCORES.split(", ")])
 
     return run
 
@@ -399,11 +469,11 @@ def scored(documents: DataFrame, held_out, frequent: int = 200_000, order: int =
     order: the length of the longest n-grams.
     """
     spark = documents.sparkSession
-    rows = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.col("text").cast("string"), (~F.coalesce(held_out, F.lit(False))).alias("train"))
+    rows = documents.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string"), (~F.coalesce(held_out, F.lit(False))).alias("train"))
     with arrow_rows(spark, 2000):
         blocks, n = bucketed(rows.mapInArrow(_pack, BLOCKS), "lm_blocks")
     with arrow_rows(spark, 1):  # a row is a block, or a bucket's part of one
-        return _scored(blocks, max(12, 2 * n), frequent, order)
+        return _scored(blocks, max(12, n // 2), frequent, order)
 
 
 def _scored(blocks: DataFrame, buckets: int, frequent: int, order: int) -> tuple[DataFrame, dict]:
@@ -411,19 +481,44 @@ def _scored(blocks: DataFrame, buckets: int, frequent: int, order: int) -> tuple
     words = written(asked.groupBy("bucket").applyInArrow(_answer_words, TABLE1), "lm-words", "kind")
     of = words.where("kind = 'word'").agg(F.sum("total").alias("total"), F.sum("distinct").alias("distinct"), *(F.sum(F.col("n")[r]).alias(f"n{r}") for r in range(K + 1))).first()
     model = Words(of["total"] or 0, of["distinct"] or 0, [of[f"n{r}"] or 0 for r in range(K + 1)])
-    answers = _gathered(words.where("kind = 'answer'"), "answers", "bucket", "counts")
-    known, tables, told = Known(buckets, frequent, model, []), [], [answers]
+    answers = _gathered(words.where("kind = 'answer'"), "answers", "bucket", "ranks", "counts")
+    known, tables, told = Known(buckets, max(frequent, model.total // MOST_FREQUENT), model, [], []), [], [answers]
     for n in range(2, order + 1):
         asked = _with(blocks, *told).mapInArrow(_ask_grams(known), ASK2)
-        grams = written(asked.groupBy("bucket").applyInArrow(_answer_grams(known), TABLE2), f"lm-grams{n}", "kind")
+        grams = written(asked.groupBy("bucket").applyInArrow(_answer_grams(n), TABLE2), f"lm-grams{n}", "kind")
         of = grams.where("kind = 'gram'").agg(*(F.sum(F.col("n")[r]).alias(f"n{r}") for r in range(K + 1))).first()
-        parts = grams.where("kind = 'part'").select("contexts", "sums", "seen").mapInArrow(_open_parts, PART)
-        contexts = parts.groupBy("context").agg(F.array(*(F.sum(F.col("sums")[r]) for r in range(K))).alias("sums"), F.sum("seen").alias("seen"))
-        wanted = _with(blocks, *told).mapInArrow(_frequent_contexts(known), "block string, context long")
-        few = written(_gathered(wanted.join(contexts, "context"), f"frequent{n}", "context", "sums", "seen"), f"lm-frequent{n}")
-        told = [*told, _gathered(grams.where("kind = 'answer'"), f"grams{n}", "bucket", "counts", "sums", "seen"), few]
-        known = replace(known, discounts=[*known.discounts, Discounts([of[f"n{r}"] or 0 for r in range(K + 1)])])
+        told = [*told, _gathered(grams.where("kind = 'answer'"), f"grams{n}", "bucket", "counts", "sums", "backs", "seen")]
+        discounts = Discounts([of[f"n{r}"] or 0 for r in range(K + 1)])
+        known = replace(known, discounts=[*known.discounts, discounts], shared=[*known.shared, _frequent(grams)])
         tables.append(grams)
     scores = _with(blocks, *told).mapInArrow(_score(known), SCORES)
     out = written(scores, "lm-scores").groupBy("id").agg(*(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")))
-    return out.withColumn("id", F.when(F.col("id") != NO_ID, F.col("id"))), {"words": words, "grams": tables, "totals": model, "discounts": known.discounts}
+    return out, {"words": words, "grams": tables, "totals": model, "discounts": known.discounts, "buckets": buckets}
+
+
+def opened_words(model: dict) -> DataFrame:
+    """(id, hash, count) of the words that were seen in training."""
+    buckets = model["buckets"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                words, counts = unpacked(row["words"], "<u8"), unpacked(row["counts"], "<i8")
+                ids = word_id(np.arange(len(words)), row["bucket"], buckets)
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (ids, words, counts)], ["id", "hash", "count"])
+
+    return model["words"].where("kind = 'word'").select("bucket", "words", "counts").mapInArrow(run, "id long, hash long, count long")
+
+
+def opened_grams(model: dict, n: int) -> DataFrame:
+    """(w1, ..., wn, count) of the n-grams that were seen in training; words by their ids, 0 for the start."""
+    names = [*(f"w{i}" for i in range(1, n + 1)), "count"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                sizes = unpacked(row["sizes"], "<u4")
+                columns = [*(np.repeat(c, sizes) for c in _open_columns(row["contexts"], n - 1)), unpacked(row["nexts"], "<u8"), unpacked(row["counts"], "<i8")]
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in columns], names)
+
+    return model["grams"][n - 2].where("kind = 'gram'").select("contexts", "sizes", "nexts", "counts").mapInArrow(run, ", ".join(f"{x} long" for x in names))

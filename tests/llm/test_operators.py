@@ -204,7 +204,11 @@ def test_katz_of_other_orders(spark, monkeypatch, order, frequent):
     model = KatzOfOrder([t for i, t in tokens.items() if zlib.crc32(str(i).encode()) % 5 != 1], order)
     for h in list(model.after[order])[:50] if order > 1 else [()]:
         assert sum(model.p(h, w) for w in [*model.base.c1, "?"]) == pytest.approx(1)
-    got = {r.id: r.score for r in ngram_lm.scored(docs(spark, list(enumerate(texts))), crc_mod("doc_id", 5) == 1, frequent, order)[0].collect()}
+    scores, made = ngram_lm.scored(docs(spark, list(enumerate(texts))), crc_mod("doc_id", 5) == 1, frequent, order)
+    got = {r.id: r.score for r in scores.collect()}
+    assert sorted(r["count"] for r in ngram_lm.opened_words(made).collect()) == sorted(model.base.c1.values())
+    for n in range(2, order + 1):
+        assert sorted(r["count"] for r in ngram_lm.opened_grams(made, n).collect()) == sorted(model.c[n].values())
     for i, t in tokens.items():
         assert got[i] == pytest.approx(sum(math.log10(model.p(g[:-1], g[-1])) for g in model.grams(t, order)), abs=1e-9)
 
@@ -215,6 +219,13 @@ def test_katz_without_rows_or_training(spark):
     assert (row.n_tokens, row.n_known, row.base_score, row.score) == (3, 0, 0.0, 0.0)
 
 
+def test_katz_of_repeated_and_least_ids_and_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(ngram_lm, "BLOCK_TOKENS", 50)
+    rows = [(5, "a b"), (5, "b c a"), (-(2**63), "a"), (None, "c"), (6, "a b c " * 400)]
+    got = {r.id: r for r in ngram_lm.scored(docs(spark, rows), F.lit(False), order=3)[0].collect()}
+    assert {i: r.n_tokens for i, r in got.items()} == {5: 7, -(2**63): 2, None: 2, 6: 1201}
+
+
 # 2
 
 

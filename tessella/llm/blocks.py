@@ -1,18 +1,74 @@
-"""All pairs within groups, in blocks of bounded size: a group of any size becomes many small tasks."""
+"""Pairs within groups, in blocks of bounded size: a group of any size becomes many small tasks, and small groups share a call."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Rows that a call gets at least, if there are as many, from one group or several.
+CALL_ROWS = 4096
+
 
-def paired_blocks(rows: DataFrame, group: list[str], key: str, size: int) -> DataFrame:
+def paired_blocks(rows: DataFrame, group: list[str], key: str, size: int, weight: Column | None = None, most: int = 0) -> DataFrame:
     """Each row once for every pair of blocks of its group that its own block is part of.
 
     Adds bi <= bj, the pair of blocks, and `second`, whether the row's block is bj (not when bi = bj). Grouped by (*group, bi, bj), the
     pairs of rows with unlike `second`, or any two rows where bi = bj, are the pairs of the group, each once. Groups of one row go.
+    Blocks have about `size` rows, and a weight (bytes) of about `most`, whichever is less.
     """
-    counts = rows.groupBy(*group).agg(F.count("*").alias("_n")).where("_n > 1").withColumn("_blocks", F.ceil(F.col("_n") / size).cast("int")).drop("_n")
+    blocks = F.ceil(F.count("*") / size) if weight is None else F.greatest(F.ceil(F.count("*") / size), F.ceil(F.sum(weight) / most))
+    counts = rows.groupBy(*group).agg(F.count("*").alias("_n"), blocks.cast("int").alias("_blocks")).where("_n > 1").drop("_n")
     own = F.pmod(F.xxhash64(key), F.col("_blocks")).cast("int")
     dealt = rows.join(counts, group).withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     return dealt.select("*", F.least("_own", "_other").alias("bi"), F.greatest("_own", "_other").alias("bj"), (F.col("_own") > F.col("_other")).alias("second")).drop("_blocks", "_own", "_other")
+
+
+def by_groups(rows: DataFrame, group: list[str], work: Callable[[pa.Table, np.ndarray], pa.Table], schema: str) -> DataFrame:
+    """`work` over tables of whole groups: it gets rows and where each group starts in them.
+
+    Groups are told apart by a 64-bit hash. A table has some CALL_ROWS rows, or those of its one larger group.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) < CALL_ROWS:
+                continue
+            table = pa.Table.from_batches(held)
+            g = table["_g"].to_numpy()
+            last = int(np.searchsorted(g, g[-1]))  # the last group may go on
+            if last:
+                yield from _worked(table.slice(0, last), work)
+            held = table.slice(last).combine_chunks().to_batches()
+        if sum(b.num_rows for b in held):
+            yield from _worked(pa.Table.from_batches(held), work)
+
+    marked = rows.select(F.xxhash64(*group).alias("_g"), "*")
+    return marked.repartition("_g").sortWithinPartitions("_g").mapInArrow(run, schema)
+
+
+def _worked(table: pa.Table, work: Callable) -> Iterator[pa.RecordBatch]:
+    g = table["_g"].to_numpy()
+    starts = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
+    yield from work(table.combine_chunks(), starts).to_batches()
+
+
+def clusters(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> np.ndarray:
+    """The least member of each of n rows' clusters, where `near(i, others)` tells which of the others row i links with.
+
+    Each row is held against those rows that no cluster has yet, so a dense group takes linear time.
+    """
+    label, free = np.arange(n), np.arange(n)
+    while len(free):
+        root, queue, free = free[0], [free[0]], free[1:]
+        while queue and len(free):
+            hit = near(queue.pop(), free)
+            label[free[hit]] = root
+            queue.extend(free[hit].tolist())
+            free = free[~hit]
+    return label

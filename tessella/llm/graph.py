@@ -13,7 +13,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     if large:
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        out = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b")
     else:
         least = edges.groupBy("a").agg(F.min("b").alias("m"))
         out = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
@@ -28,10 +28,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     """
     shared_folder(edges.sparkSession)
     now = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a > b").distinct().checkpoint()
-    before = None
+    state_of = lambda links: links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    before = state_of(now)
     for _ in range(most_rounds):
         now = _star(_star(now, True), False).checkpoint()
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        state = state_of(now)
         if state == before:
             return now.select(F.col("a").alias("id"), F.col("b").alias("component")).union(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
         before = state

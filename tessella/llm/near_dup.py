@@ -1,13 +1,14 @@
 """n-gram Jaccard join with Bayesian candidate pruning.
 
 Documents with one set of word shingles form a class; only class representatives are compared. Banded MinHash keys propose candidates
-(a pair at the threshold shares a band but for about 1 in 10^7); groups of candidates are compared in blocks: MinHash values are read a few at a time, and
-a pair drops out when the posterior probability of reaching the threshold falls below the tolerance (uniform prior); the rest is
-verified on the whole shingle sets. Links are counted and joined into forests where they are found, so rows stay linear in documents.
+(a pair at the threshold shares a band but for about 1 in 10^7). Classes that share a key meet as sketches (a byte of each MinHash value): they are
+compared a few values at a time, and a pair drops out when the posterior probability of reaching the threshold falls below the tolerance (uniform
+prior). Keys that hold the same classes are met once. What survives connects classes into groups; within a group, in blocks, every pair is verified
+on the whole shingle sets. Links are counted and joined into forests where they are found, so rows stay linear in documents.
 
 Nulls: a null or empty text has no shingles and links with nothing; a text of fewer words than a shingle is one shingle; a null id
 links with nothing. Rows that repeat an id and text count each as a member of the class; an id with several texts is in several
-classes, each of which is compared by a text of its own. An empty table gives no rows; other columns are ignored.
+classes, each of which is compared by a text of its own, and which it joins into one component. An empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,12 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import paired_blocks
-from .common import forest, mix, shingle_sets, slices, written
+from .blocks import by_groups, clusters, paired_blocks
+from .common import arrow_rows, forest, mix, shingle_sets, slices, written
 from .graph import components
 
 BANDS, ROWS = 40, 5
-SKETCH = "doc_id long, print long, h1 long, h2 long, keys array<long>"
+SKETCH = "doc_id long, print long, h1 long, h2 long, keys array<long>, sketch binary"
+#: MinHash values in a sketch; classes of a key that are compared at once; bytes of text in a block of a group.
+VALUES, MET, BLOCK_BYTES = 128, 4096, 4 << 20
 
 
 def minhash(values: np.ndarray, at: np.ndarray, n: int, seed: int) -> np.ndarray:
@@ -49,18 +52,23 @@ def _sketches(k: int):  # noqa: ANN202
             full = np.flatnonzero(np.diff(at))
             own = np.append(at[full], len(values))
             sums = np.zeros((2, batch.num_rows), np.int64)
-            keys = np.zeros((len(full), BANDS), np.int64)
+            keys, low = np.zeros((len(full), BANDS), np.int64), np.zeros((len(full), VALUES), np.uint8)
             if len(full):
                 for i, salt in enumerate((0x51ED270B, 0x2545F491)):
                     sums[i, full] = np.add.reduceat(mix(values ^ np.uint64(salt << 17)), own[:-1]).astype(np.int64)
-                sig = minhash(values, own, BANDS * ROWS, 3).astype(np.uint64).reshape(len(full), BANDS, ROWS)
+                sig = minhash(values, own, BANDS * ROWS, 3)
+                low = sig[:, :VALUES].astype(np.uint8)
+                sig = sig.astype(np.uint64).reshape(len(full), BANDS, ROWS)
                 h = np.arange(BANDS, dtype=np.uint64)[None, :] + np.zeros((len(full), 1), np.uint64)
                 for r in range(ROWS):
                     h = mix(h * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, r])
                 keys = h.astype(np.int64)
             ends = np.concatenate(([0], np.cumsum(np.diff(at) > 0))) * BANDS
             lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(keys.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("print"), pa.array(sums[0]), pa.array(sums[1]), lists], ["doc_id", "print", "h1", "h2", "keys"])
+            sketch: list = [None] * batch.num_rows
+            for i, row in zip(full.tolist(), low, strict=True):
+                sketch[i] = row.tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("print"), pa.array(sums[0]), pa.array(sums[1]), lists, pa.array(sketch, pa.binary())], [x.split()[0] for x in SKETCH.split(", ")])
 
     return run
 
@@ -75,18 +83,44 @@ def least_matches(n: int, threshold: float, tolerance: float) -> int:
     return n
 
 
-def surviving(a: np.ndarray, b: np.ndarray, threshold: float, tolerance: float, step: int = 16) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of two signature tables that incremental comparison doesn't drop."""
-    agree = np.zeros((len(a), len(b)), np.uint8)
-    for k in range(step):
-        agree += a[:, k][:, None] == b[:, k][None, :]
-    i, j = np.nonzero(agree >= least_matches(step, threshold, tolerance))
-    m = agree[i, j].astype(np.int64)
-    for lo in range(step, a.shape[1], step):
-        m = m + (a[i, lo : lo + step] == b[j, lo : lo + step]).sum(axis=1)
+def surviving(a: np.ndarray, b: np.ndarray, threshold: float, tolerance: float, step: int = 16) -> np.ndarray:
+    """Which rows of two signature tables (a may be one row) incremental comparison doesn't drop."""
+    a = np.broadcast_to(a, b.shape)
+    at, m = np.arange(len(b)), np.zeros(len(b), np.int64)
+    for lo in range(0, b.shape[1], step):
+        m = m + (a[at, lo : lo + step] == b[at, lo : lo + step]).sum(axis=1)
         stay = m >= least_matches(lo + step, threshold, tolerance)
-        i, j, m = i[stay], j[stay], m[stay]
-    return i, j
+        at, m = at[stay], m[stay]
+    out = np.zeros(len(b), bool)
+    out[at] = True
+    return out
+
+
+def _candidates(threshold: float, tolerance: float):  # noqa: ANN202
+    def work(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        nodes, sig = table["node"].to_numpy(), np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(-1, VALUES)
+        ends = np.append(starts[1:], len(nodes))
+        a, b = [], []
+        small = np.repeat(ends - starts <= 16, ends - starts)
+        group = np.repeat(np.arange(len(starts)), ends - starts)
+        for d in range(1, 16):  # small groups: all pairs, by how far apart they lie
+            i = np.flatnonzero(small[:-d] & (group[:-d] == group[d:])) if len(nodes) > d else np.zeros(0, int)
+            if not len(i):
+                break
+            i = i[surviving(sig[i], sig[i + d], threshold, tolerance)]
+            a.append(nodes[i + d])
+            b.append(nodes[i])
+        for lo, hi in zip(starts[ends - starts > 16], ends[ends - starts > 16], strict=True):
+            own = sig[lo:hi]
+            label = clusters(hi - lo, lambda i, others, own=own: surviving(own[i], own[others], threshold, tolerance))
+            new = np.flatnonzero(label != np.arange(hi - lo))
+            a.append(nodes[lo:hi][new])
+            b.append(nodes[lo:hi][label[new]])
+        none = np.zeros(0, np.int64)
+        member, root = forest(np.concatenate([none, *a]), np.concatenate([none, *b]))
+        return pa.table({"id": member, "root": root})
+
+    return work
 
 
 def shared(values: np.ndarray, rows: np.ndarray, n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -105,23 +139,17 @@ def shared(values: np.ndarray, rows: np.ndarray, n: int, left: np.ndarray, right
     return out.astype(np.int64)
 
 
-def _verifier(k: int, threshold: float, tolerance: float, hashes: int):  # noqa: ANN202
+def _verifier(k: int, threshold: float):  # noqa: ANN202
     def run(table: pa.Table) -> pa.Table:
         ids, weight, second = table["id"].to_numpy(), table["n_docs"].to_numpy(), table["second"].to_numpy()
         values, at = shingle_sets(table["text"].combine_chunks(), k)
         size, rows = np.diff(at), np.repeat(np.arange(len(ids)), np.diff(at))
-        sig = minhash(values, at, hashes, 5)
         same = table["bi"][0].as_py() == table["bj"][0].as_py()
         left = np.flatnonzero(~second)
         right = left if same else np.flatnonzero(second)
-        i, j = surviving(sig[left], sig[right], threshold, tolerance)
-        if same:
-            i, j = i[i < j], j[i < j]
-        if len(i):
-            common = shared(values, rows, len(ids), left, right)[i, j]
-            i, j = left[i], right[j]
-            near = common >= threshold * (size[i] + size[j] - common) - 1e-9
-            i, j = i[near], j[near]
+        common = shared(values, rows, len(ids), left, right)
+        i, j = np.nonzero(common >= threshold * (size[left][:, None] + size[right][None, :] - common) - 1e-9)
+        i, j = (left[i], right[j]) if not same else (left[i[i < j]], right[j[i < j]])
         links = np.zeros(len(ids), np.int64)
         np.add.at(links, i, weight[j])
         np.add.at(links, j, weight[i])
@@ -133,7 +161,7 @@ def _verifier(k: int, threshold: float, tolerance: float, hashes: int):  # noqa:
     return run
 
 
-def joined(documents: DataFrame, k: int = 5, threshold: float = 0.8, tolerance: float = 1e-6, hashes: int = 128, block: int = 256) -> DataFrame:
+def joined(documents: DataFrame, k: int = 5, threshold: float = 0.8, tolerance: float = 1e-6, block: int = 256) -> DataFrame:
     """(doc_id, class_id, n_links, component_id, kept) per row.
 
     class_id: the least id with the same shingle set; n_links: other documents of similarity `threshold` or more; component_id: the
@@ -141,29 +169,39 @@ def joined(documents: DataFrame, k: int = 5, threshold: float = 0.8, tolerance:
     """
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = texts.withColumn("print", F.xxhash64("text"))
-    sketches = written(texts.mapInArrow(_sketches(k), SKETCH), "sketches")
+    with arrow_rows(documents.sparkSession, 2000):
+        sketches = written(texts.mapInArrow(_sketches(k), SKETCH), "sketches")
     usable = sketches.where("doc_id IS NOT NULL AND size(keys) > 0")
-    classes = usable.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "print")).alias("least"), F.count("*").alias("n_docs"), F.first("keys").alias("keys"))
+    classes = usable.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "print")).alias("least"), F.count("*").alias("n_docs"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
     # a class is a node of its own: an id may stand for several
-    classes = written(classes.select("h1", "h2", F.xxhash64("h1", "h2").alias("node"), F.col("least.doc_id").alias("rep"), F.col("least.print").alias("rep_print"), "n_docs", "keys"), "classes")
-    bands = classes.select("node", F.explode("keys").alias("key"))
-    hubs = bands.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
-    candidates = components(bands.join(hubs, "key").where("node > hub").select("node", "hub"), "node", "hub")
-    reps = candidates.join(classes.select("node", "rep", "rep_print", "n_docs"), F.col("id") == F.col("node")).drop("node")
+    node = F.xxhash64("h1", "h2").alias("node")
+    classes = written(classes.select("h1", "h2", node, F.col("least.doc_id").alias("rep"), F.col("least.print").alias("rep_print"), "n_docs", "keys", "sketch"), "classes")
+    groups = _groups(classes, threshold, tolerance)
+    reps = groups.join(classes.select("node", "rep", "rep_print", "n_docs"), F.col("id") == F.col("node")).drop("node")
     members = texts.join(reps, (F.col("doc_id") == F.col("rep")) & (F.col("print") == F.col("rep_print"))).groupBy("id", "component", "n_docs").agg(F.min("text").alias("text"))
-    found = paired_blocks(members, ["component"], "id", block).groupBy("component", "bi", "bj").applyInArrow(_verifier(k, threshold, tolerance, hashes), "id long, n long, root long")
-    found = written(found, "links")
+    dealt = paired_blocks(members, ["component"], "id", block, F.octet_length("text"), BLOCK_BYTES)
+    found = written(dealt.groupBy("component", "bi", "bj").applyInArrow(_verifier(k, threshold), "id long, n long, root long"), "links")
     counts = found.where("root IS NULL").groupBy("id").agg(F.sum("n").alias("n"))
-    ids = classes.select("node", "rep")
-    roots = found.where("root IS NOT NULL").select("id", "root").join(ids.toDF("id", "of"), "id").join(ids.toDF("root", "to"), "root").where("of <> to")
-    reach = components(
-        roots.select(F.col("of").alias("id"), F.col("to").alias("root")).union(usable.join(classes.where("n_docs > 1"), ["h1", "h2"]).where("doc_id > rep").select("doc_id", "rep")), "id", "root"
-    )
-    own = classes.select("h1", "h2", "node", F.col("rep").alias("class_id"), "n_docs").join(counts, F.col("node") == F.col("id"), "left").drop("id", "node")
-    rows = sketches.withColumn("usable", F.expr("doc_id IS NOT NULL AND size(keys) > 0")).drop("keys", "print")
-    out = rows.join(own, (rows["h1"] == own["h1"]) & (rows["h2"] == own["h2"]) & rows["usable"], "left").select("doc_id", "class_id", "n_docs", "n")
-    out = out.join(reach, F.col("doc_id") == F.col("id"), "left")
-    component = F.coalesce("component", "doc_id")
-    links = F.coalesce(F.col("n_docs") - 1 + F.coalesce("n", F.lit(0)), F.lit(0))
-    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), links.cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
-
+    by_id = usable.select("doc_id", node)
+    several = by_id.groupBy("doc_id").agg(F.min("node").alias("root"), F.max("node").alias("last")).where("root <> last").drop("last")
+    reach = components(found.where("root IS NOT NULL").select("id", "root").union(by_id.join(several, "doc_id").select("node", "root")), "id", "root")
+    least = reach.join(classes.select("node", "rep"), F.col("id") == F.col("node")).groupBy("component").agg(F.min("rep").alias("component_id"))
+    own = classes.select("h1", "h2", "node", F.col("rep").alias("class_id"), "n_docs").join(counts, F.col("node") == F.col("id"), "left").drop("id")
+    own = own.join(reach.join(least, "component"), F.col("node") == F.col("id"), "left").drop("id", "node", "component")
+    rows = sketches.withColumn("usable", F.expr("doc_id IS NOT NULL AND size(keys) > 0")).drop("keys", "print", "sketch")
+    out = rows.join(own, (rows["h1"] == own["h1"]) & (rows["h2"] == own["h2"]) & rows["usable"], "left")
+    class_id = F.coalesce("class_id", "doc_id")
+    out = out.select("doc_id", class_id.alias("class_id"), F.coalesce(F.col("n_docs") - 1 + F.coalesce("n", F.lit(0)), F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", class_id).alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def _groups(classes: DataFrame, threshold: float, tolerance: float) -> DataFrame:
+    """(id, component): classes, by node, that pairs of candidates connect. Only keys and sketches move."""
+    bands = classes.select("node", F.explode("keys").alias("key"))
+    held = bands.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least"), F.expr("bit_xor(xxhash64(node))").alias("set")).where("n > 1")
+    once = held.groupBy("n", "least", "set").agg(F.min("key").alias("key")).select("key", "n")
+    met = bands.join(once, "key").join(classes.select("node", "sketch"), "node")
+    blocks = F.ceil(F.col("n") / MET).cast("int")
+    met = met.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    met = met.select("key", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "node", "sketch")
+    return components(by_groups(met, ["key", "bi", "bj"], _candidates(threshold, tolerance), "id long, root long"), "id", "root")

@@ -9,7 +9,7 @@ d(r) discounts counts of 1 to K by Good-Turing (Katz 1987), by level, and is 1 a
 At least one count of 1 keeps a little mass free, so that every probability is positive. alpha(h) spreads what h's discounts freed over
 the words not seen after h, so that P(. | h) sums to 1 over the vocabulary and the class of other words. Documents start with order - 1 starts.
 
-How it runs: documents are packed into blocks (an Arrow table of half a million tokens: its distinct word hashes, and tokens as indices), written once.
+How it runs: documents are packed into blocks (an Arrow table of some 700 000 tokens: its distinct word hashes, and tokens as indices), written once.
 Blocks ask for what they need by key, in a round for each level: the ids and counts of their words (dealt by word; ids rise as counts fall), then the
 counts and context sums of their bigrams, trigrams and so on (dealt by context, split by a salt of the next word so that a frequent context is many
 tasks' work). N-grams travel as ids in sorted order, packed by byte plane, so frequent words cost little. An n-gram's training count after the shorter
@@ -29,6 +29,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,11 @@ from .common import arrow_rows, bucketed, hashes, mix, slices, words_of, written
 #: Counts up to this are discounted.
 K = 5
 #: Tokens after which a block is closed.
-BLOCK_TOKENS = 500_000
+BLOCK_TOKENS = 700_000
+#: Bytes of text that are tokenised at once; a block is closed after one of these.
+SLICE = 2 << 20
+#: Parts, by bucket, in which levels from the third on are asked, so that only a part of their questions is on disk at once.
+PASSES = 2
 #: Contexts, of a level, whose sums are brought to the driver at most: a context is frequent from 1 / MOST_FREQUENT of all training tokens on.
 MOST_FREQUENT = 10_000
 START, END = "\n", ""  # no word is spelt so
@@ -111,7 +116,7 @@ class Block:
 
     def __init__(self, row: dict):
         self.ids, self.nulls, self.train = unpacked(row["ids"], "<i8"), unpacked(row["nulls"], "u1") > 0, unpacked(row["train"], "u1") > 0
-        self.ends, self.words, self.tokens = unpacked(row["ends"], "<i8"), unpacked(row["words"], "<u8"), unpacked(row["tokens"], "<u4").astype(np.int32)
+        self.ends, self.words, self.tokens = unpacked(row["ends"], "<i8"), np.cumsum(unpacked(row["words"], "<u8"), dtype=np.uint64), unpacked(row["tokens"], "<u4").astype(np.int32)
         self.starts = np.concatenate(([0], self.ends[:-1]))
         self.trained = np.repeat(self.train, np.diff(np.concatenate(([0], self.ends))))
 
@@ -183,11 +188,14 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def block() -> pa.RecordBatch:
         ids, nulls, train, lengths, tokens = (np.concatenate(x) for x in zip(*parts, strict=True))
-        words, index = np.unique(tokens, return_inverse=True)
-        arrays = (ids.astype("<i8"), nulls.astype("u1"), train.astype("u1"), np.cumsum(lengths).astype("<i8"), words.astype("<u8"), index.astype("<u4"))
+        words, index, counts = np.unique(tokens, return_inverse=True, return_counts=True)
+        by = np.argsort(-counts, kind="stable")  # frequent words first, equally frequent ones by hash
+        place = np.empty(len(by), np.uint32)
+        place[by] = np.arange(len(by))
+        arrays = (ids.astype("<i8"), nulls.astype("u1"), train.astype("u1"), np.cumsum(lengths).astype("<i8"), np.diff(words[by], prepend=np.uint64(0)), place[index])
         return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), *(pa.array([packed(a)], pa.binary()) for a in arrays)], [x.split()[0] for x in BLOCKS.split(", ")])
 
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", SLICE):
         flat, at = words_of(batch.column("text"))
         coded = flat.dictionary_encode()
         table = hashes(coded.dictionary.to_pylist())
@@ -212,7 +220,7 @@ def _rows(names: str, rows: list[tuple]) -> pa.RecordBatch:
 ASK1 = "bucket int, block string, words binary, counts binary"
 TABLE1 = "kind string, bucket int, block string, words binary, ranks binary, counts binary, n array<long>, total long, distinct long"
 ASK2 = "bucket int, block string, contexts binary, sizes binary, nexts binary, lower binary, counts binary, shared binary"
-TABLE2 = "kind string, bucket int, block string, contexts binary, sizes binary, nexts binary, counts binary, sums binary, backs binary, seen binary, n array<long>"
+TABLE2 = "kind string, bucket int, block string, contexts binary, sizes binary, nexts binary, counts binary, held binary, backs binary, sums binary, seen binary, n array<long>"
 
 
 def _ask_words(buckets: int):  # noqa: ANN202
@@ -280,7 +288,7 @@ class Known:
     def level(self, b: Block, row: dict) -> tuple[Level, np.ndarray]:
         """The block's n-grams of the longest length known; ids of its words, which are sorted by them now."""
         ids, counts = _words_of(b, row["answers"], self.word_buckets)
-        end = int(np.searchsorted(b.words, hashes([END])[0]))
+        end = int(np.flatnonzero(b.words == hashes([END])[0])[0])
         starts = counts[end]  # as many starts as ends
         order = np.argsort(ids)
         place = np.empty(len(ids), np.int32)
@@ -301,10 +309,11 @@ class Known:
         sums, seen = np.zeros((len(below.ofcontext), K), np.int64), np.zeros((len(below.ofcontext), K + 1), np.int64)
         for a in answers:
             at = order[starts[a["bucket"]] : starts[a["bucket"] + 1]]
-            total[own[at]] = unpacked(a["counts"], "<i8")
+            total[own[at]] = unpacked(a["counts"], "<u4")
             context = v[at[_firsts(v[at])]]
-            sums[context] = unpacked(a["sums"], "<i8").reshape(-1, K)
-            seen[context[unpacked(a["backs"], "u1") > 0]] = unpacked(a["seen"], "<i8").reshape(-1, K + 1)
+            sums[context] = unpacked(a["held"], "u1")[:, None] >> np.arange(K) & 1  # where nothing backs off it is enough to know which are there
+            context = context[unpacked(a["backs"], "u1") > 0]
+            sums[context], seen[context] = _table(a["sums"], K), _table(a["seen"], K + 1)
         keys, some, more = shared
         split = np.flatnonzero(parts > 1)
         if len(split) and len(keys):
@@ -330,7 +339,8 @@ class Known:
         return Level(index, total, p, columns, np.append(total, below.ofcontext[-1]), lower)
 
 
-def _ask_grams(known: Known):  # noqa: ANN202
+def _ask_grams(known: Known, part: int = 0, parts_of: int = 1):  # noqa: ANN202
+    """Questions to one of several parts of the buckets."""
     n = len(known.discounts) + 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -345,7 +355,7 @@ def _ask_grams(known: Known):  # noqa: ANN202
                 own, v, w, order, starts, parts = asked(codes, below, ids, known.buckets(n), known.frequent)
                 train, lower, out = train[own], lower[own], []
                 for i, (lo, hi) in enumerate(zip(starts[:-1], starts[1:], strict=True)):
-                    if hi > lo:
+                    if hi > lo and i % parts_of == part:
                         at = order[lo:hi]
                         new = _firsts(v[at])
                         context = v[at[new]]
@@ -378,7 +388,9 @@ def _answer_grams(n: int):  # noqa: ANN202
         columns = [np.concatenate(x) for x in zip(*asks, strict=True)]
         each = [unpacked(x, "<u4").astype(np.int64) for x in table["sizes"].to_pylist()]
         sizes, nexts, lower, counts, shared = (np.concatenate([unpacked(x, d) for x in table[c].to_pylist()]) for c, d in zip(names, ("<u4", "<u8", "<i8", "<i8", "u1"), strict=True))
-        keys, firsts, context = np.unique(context_keys(columns), return_index=True, return_inverse=True)
+        narrow = n <= 3 and int(max(c.max() for c in columns)) < 1 << 32  # then contexts are numbers, in the order of their ids
+        codes = (columns[0] << np.uint64(32) | columns[-1] if n == 3 else columns[0]) if narrow else context_keys(columns)
+        keys, firsts, context = np.unique(codes, return_index=True, return_inverse=True)
         v = np.repeat(context, sizes)
         small = len(keys) < 1 << 24 and (not len(nexts) or int(nexts.max()) < 1 << 40)
         order = np.argsort(v.astype(np.uint64) << np.uint64(40) | nexts) if small else np.lexsort((nexts, v))
@@ -395,33 +407,45 @@ def _answer_grams(n: int):  # noqa: ANN202
         np.add.at(sums, (pv[few], own[few] - 1), 1)
         np.add.at(seen, (pv[rare], below[rare] - 1), 1)
         np.add.at(seen, (pv[~rare], K), below[~rare])
-        rows, lo, clo = [], 0, 0
+        held = ((sums > 0) << np.arange(K)).sum(axis=1).astype("u1")
+        rows, lo, clo, total = [], 0, 0, total.astype(np.uint32)
         for block, s in zip(table["block"].to_pylist(), each, strict=True):
             m, at = int(s.sum()), context[clo : clo + len(s)]
             found = total[index[lo : lo + m]]
             backs = np.add.reduceat(found == 0, np.cumsum(s) - s) > 0  # only there the block needs alpha
-            rows.append(("answer", bucket, block, None, None, None, packed(found), packed(sums[at].reshape(-1)), packed(backs.astype("u1")), packed(seen[at[backs]].reshape(-1)), None))
+            rows.append(("answer", bucket, block, None, None, None, packed(found), packed(held[at]), packed(backs.astype("u1")), _flat(sums[at[backs]]), _flat(seen[at[backs]]), None))
             lo, clo = lo + m, clo + len(s)
         at = _firsts(pv)
-        by = np.lexsort(tuple(c[firsts[pv[at]]] for c in reversed(columns)))  # contexts in the order of their ids
-        size = np.diff(np.append(at, len(pv)))
-        place = np.repeat(at[by], size[by]) + np.arange(len(pv)) - np.repeat(np.cumsum(size[by]) - size[by], size[by])
-        mine = pv[at[by]]
-        rows.append(("gram", bucket, None, _columns([c[firsts[mine]] for c in columns]), packed(size[by].astype("<u4")), packed(ns[place]), packed(own[place]), packed(sums[mine].reshape(-1)), None, packed(seen[mine].reshape(-1)), _of_counts(own)))
+        size, mine, place = np.diff(np.append(at, len(pv))), pv[at], slice(None)
+        if not narrow:  # contexts in the order of their ids
+            by = np.lexsort(tuple(c[firsts[mine]] for c in reversed(columns)))
+            place = np.repeat(at[by], size[by]) + np.arange(len(pv)) - np.repeat(np.cumsum(size[by]) - size[by], size[by])
+            size, mine = size[by], mine[by]
+        rows.append(("gram", bucket, None, _columns([c[firsts[mine]] for c in columns]), packed(size.astype("<u4")), packed(ns[place]), packed(own[place]), None, None, None, _flat(seen[mine]), _of_counts(own)))
         several = np.unique(context[shared > 0])
-        rows.append(("part", bucket, None, packed(keys[several]), None, None, None, packed(sums[several].reshape(-1)), None, packed(seen[several].reshape(-1)), None))
+        keys = context_keys([c[firsts[several]] for c in columns])
+        rows.append(("part", bucket, None, packed(keys), None, None, None, None, None, _flat(sums[several]), _flat(seen[several]), None))
         return pa.Table.from_batches([_rows(TABLE2, rows)])
 
     return run
 
 
+def _flat(table: np.ndarray) -> bytes:
+    """A table of counts, packed by column."""
+    return packed(np.ascontiguousarray(table.T).reshape(-1))
+
+
+def _table(b: bytes, width: int) -> np.ndarray:
+    return unpacked(b, "<i8").reshape(width, -1).T
+
+
 PART = "context long, sums array<long>, seen array<long>"
 
 
 def _open_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
-            sums, seen = unpacked(row["sums"], "<i8").reshape(-1, K).tolist(), unpacked(row["seen"], "<i8").reshape(-1, K + 1).tolist()
+            sums, seen = _table(row["sums"], K).tolist(), _table(row["seen"], K + 1).tolist()
             yield _rows(PART, list(zip(unpacked(row["contexts"], "<u8").view(np.int64).tolist(), sums, seen, strict=True)))
 
 
@@ -473,7 +497,7 @@ def scored(documents: DataFrame, held_out, frequent: int = 200_000, order: int =
     with arrow_rows(spark, 2000):
         blocks, n = bucketed(rows.mapInArrow(_pack, BLOCKS), "lm_blocks")
     with arrow_rows(spark, 1):  # a row is a block, or a bucket's part of one
-        return _scored(blocks, max(12, n // 2), frequent, order)
+        return _scored(blocks, max(12, n // 3), frequent, order)
 
 
 def _scored(blocks: DataFrame, buckets: int, frequent: int, order: int) -> tuple[DataFrame, dict]:
@@ -484,10 +508,11 @@ def _scored(blocks: DataFrame, buckets: int, frequent: int, order: int) -> tuple
     answers = _gathered(words.where("kind = 'answer'"), "answers", "bucket", "ranks", "counts")
     known, tables, told = Known(buckets, max(frequent, model.total // MOST_FREQUENT), model, [], []), [], [answers]
     for n in range(2, order + 1):
-        asked = _with(blocks, *told).mapInArrow(_ask_grams(known), ASK2)
-        grams = written(asked.groupBy("bucket").applyInArrow(_answer_grams(n), TABLE2), f"lm-grams{n}", "kind")
+        parts = 1 if n == 2 else PASSES
+        passes = [_with(blocks, *told).mapInArrow(_ask_grams(known, part, parts), ASK2).groupBy("bucket").applyInArrow(_answer_grams(n), TABLE2) for part in range(parts)]
+        grams = reduce(DataFrame.unionByName, [written(x, f"lm-grams{n}", "kind") for x in passes])
         of = grams.where("kind = 'gram'").agg(*(F.sum(F.col("n")[r]).alias(f"n{r}") for r in range(K + 1))).first()
-        told = [*told, _gathered(grams.where("kind = 'answer'"), f"grams{n}", "bucket", "counts", "sums", "backs", "seen")]
+        told = [*told, _gathered(grams.where("kind = 'answer'"), f"grams{n}", "bucket", "counts", "held", "backs", "sums", "seen")]
         discounts = Discounts([of[f"n{r}"] or 0 for r in range(K + 1)])
         known = replace(known, discounts=[*known.discounts, discounts], shared=[*known.shared, _frequent(grams)])
         tables.append(grams)

@@ -367,6 +367,36 @@ def test_near_duplicates_of_an_id_with_two_texts(spark):
     assert sorted((r.doc_id, r.n_links) for r in got) == [(1, 1), (1, 1), (2, 1), (3, 1)] and {r.component_id for r in got} == {1}
 
 
+def variants(n, words, changed, seed):
+    """Texts that differ from one another in some of their words."""
+    rng = random.Random(seed)
+    out = []
+    for i in range(n):
+        w = [f"w{j}" for j in range(words)]
+        for j in rng.sample(range(words), changed):
+            w[j] = f"x{i}"
+        out.append(" ".join(w))
+    return out
+
+
+@pytest.mark.parametrize("met", [4096, 10])
+def test_near_duplicates_in_large_groups(spark, monkeypatch, met):
+    monkeypatch.setattr(near_dup, "MET", met)
+    rows = list(enumerate(variants(45, 120, 1, 5) + variants(60, 120, 12, 6)))
+    links = brute_links(rows)
+    n = collections.Counter(x for link in links for x in link)
+    got = {r.doc_id: (r.n_links, r.component_id) for r in near_dup.joined(docs(spark, rows), block=8).collect()}
+    assert max(n.values()) == 44 and got == {i: (n[i], 0 if i < 45 else i) for i, _ in rows}
+
+
+def test_a_family_below_the_threshold_moves_no_texts(spark):
+    texts = spark.createDataFrame(list(enumerate(variants(80, 120, 12, 7))), "doc_id long, text string")
+    sketches = texts.withColumn("print", F.lit(0).cast("long")).mapInArrow(near_dup._sketches(5), near_dup.SKETCH)
+    classes = sketches.withColumn("node", F.xxhash64("h1", "h2"))
+    shared = classes.select(F.explode("keys").alias("key")).groupBy("key").count().where("count > 1").count()
+    assert shared > 20 and near_dup._groups(classes, 0.8, 1e-6).count() == 0
+
+
 def test_pruning_bound():
     for n in (16, 64, 128):
         m = near_dup.least_matches(n, 0.8, 1e-6)

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import forest
+
 #: Rows that a call gets at least, if there are as many, from one group or several.
 CALL_ROWS = 4096
 
@@ -58,17 +60,46 @@ def _worked(table: pa.Table, work: Callable) -> Iterator[pa.RecordBatch]:
     yield from work(table.combine_chunks(), starts).to_batches()
 
 
-def clusters(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> np.ndarray:
-    """The least member of each of n rows' clusters, where `near(i, others)` tells which of the others row i links with.
+def keyed_candidates(classes: DataFrame, work: Callable[[pa.Table, np.ndarray], pa.Table], most: int) -> DataFrame:
+    """(id, root): what `work` finds among the classes (node, keys, sketch) that share a key; only keys and sketches move.
+
+    Keys that hold the same classes are met once; one of more than `most` classes is met in pairs of blocks.
+    """
+    bands = classes.select("node", F.explode("keys").alias("key"))
+    held = bands.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least"), F.expr("bit_xor(xxhash64(node))").alias("set")).where("n > 1")
+    once = held.groupBy("n", "least", "set").agg(F.min("key").alias("key")).select("key", "n")
+    met = bands.join(once, "key").join(classes.select("node", "sketch"), "node")
+    blocks = F.ceil(F.col("n") / most).cast("int")
+    met = met.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    met = met.select("key", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "node", "sketch")
+    return by_groups(met, ["key", "bi", "bj"], work, "id long, root long")
+
+
+def connected(nodes: np.ndarray, starts: np.ndarray, near: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> pa.Table:
+    """(id, root) rows that connect the nodes whose rows are near and in one group; near(i, j) tells which rows i[k] and j[k] are.
 
-    Each row is held against those rows that no cluster has yet, so a dense group takes linear time.
+    In a group each row is held against those rows that no cluster has yet, so a dense group takes linear time.
     """
-    label, free = np.arange(n), np.arange(n)
-    while len(free):
-        root, queue, free = free[0], [free[0]], free[1:]
-        while queue and len(free):
-            hit = near(queue.pop(), free)
-            label[free[hit]] = root
-            queue.extend(free[hit].tolist())
-            free = free[~hit]
-    return label
+    ends = np.append(starts[1:], len(nodes))
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    small = np.repeat(ends - starts <= 16, ends - starts)
+    group = np.repeat(np.arange(len(starts)), ends - starts)
+    for d in range(1, 16):  # small groups together: all pairs, by how far apart they lie
+        i = np.flatnonzero(small[:-d] & (group[:-d] == group[d:]))
+        if not len(i):
+            break
+        i = i[near(i, i + d)]
+        a.append(nodes[i + d])
+        b.append(nodes[i])
+    for lo, hi in zip(starts[ends - starts > 16], ends[ends - starts > 16], strict=True):
+        free = np.arange(lo, hi)
+        while len(free):
+            root, queue, free = free[0], [free[0]], free[1:]
+            while queue and len(free):
+                hit = near(np.full(len(free), queue.pop()), free)
+                a.append(nodes[free[hit]])
+                b.append(np.full(int(hit.sum()), nodes[root]))
+                queue.extend(free[hit].tolist())
+                free = free[~hit]
+    member, root = forest(np.concatenate(a), np.concatenate(b))
+    return pa.table({"id": member, "root": root})

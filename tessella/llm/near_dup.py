@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import by_groups, clusters, paired_blocks
+from .blocks import connected, keyed_candidates, paired_blocks
 from .common import arrow_rows, forest, mix, shingle_sets, slices, written
 from .graph import components
 
@@ -84,8 +84,7 @@ def least_matches(n: int, threshold: float, tolerance: float) -> int:
 
 
 def surviving(a: np.ndarray, b: np.ndarray, threshold: float, tolerance: float, step: int = 16) -> np.ndarray:
-    """Which rows of two signature tables (a may be one row) incremental comparison doesn't drop."""
-    a = np.broadcast_to(a, b.shape)
+    """Which rows of two signature tables incremental comparison doesn't drop."""
     at, m = np.arange(len(b)), np.zeros(len(b), np.int64)
     for lo in range(0, b.shape[1], step):
         m = m + (a[at, lo : lo + step] == b[at, lo : lo + step]).sum(axis=1)
@@ -99,26 +98,7 @@ def surviving(a: np.ndarray, b: np.ndarray, threshold: float, tolerance: float,
 def _candidates(threshold: float, tolerance: float):  # noqa: ANN202
     def work(table: pa.Table, starts: np.ndarray) -> pa.Table:
         nodes, sig = table["node"].to_numpy(), np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(-1, VALUES)
-        ends = np.append(starts[1:], len(nodes))
-        a, b = [], []
-        small = np.repeat(ends - starts <= 16, ends - starts)
-        group = np.repeat(np.arange(len(starts)), ends - starts)
-        for d in range(1, 16):  # small groups: all pairs, by how far apart they lie
-            i = np.flatnonzero(small[:-d] & (group[:-d] == group[d:])) if len(nodes) > d else np.zeros(0, int)
-            if not len(i):
-                break
-            i = i[surviving(sig[i], sig[i + d], threshold, tolerance)]
-            a.append(nodes[i + d])
-            b.append(nodes[i])
-        for lo, hi in zip(starts[ends - starts > 16], ends[ends - starts > 16], strict=True):
-            own = sig[lo:hi]
-            label = clusters(hi - lo, lambda i, others, own=own: surviving(own[i], own[others], threshold, tolerance))
-            new = np.flatnonzero(label != np.arange(hi - lo))
-            a.append(nodes[lo:hi][new])
-            b.append(nodes[lo:hi][label[new]])
-        none = np.zeros(0, np.int64)
-        member, root = forest(np.concatenate([none, *a]), np.concatenate([none, *b]))
-        return pa.table({"id": member, "root": root})
+        return connected(nodes, starts, lambda i, j: surviving(sig[i], sig[j], threshold, tolerance))
 
     return work
 
@@ -176,7 +156,7 @@ def joined(documents: DataFrame, k: int = 5, threshold: float = 0.8, tolerance:
     # a class is a node of its own: an id may stand for several
     node = F.xxhash64("h1", "h2").alias("node")
     classes = written(classes.select("h1", "h2", node, F.col("least.doc_id").alias("rep"), F.col("least.print").alias("rep_print"), "n_docs", "keys", "sketch"), "classes")
-    groups = _groups(classes, threshold, tolerance)
+    groups = components(keyed_candidates(classes, _candidates(threshold, tolerance), MET), "id", "root")
     reps = groups.join(classes.select("node", "rep", "rep_print", "n_docs"), F.col("id") == F.col("node")).drop("node")
     members = texts.join(reps, (F.col("doc_id") == F.col("rep")) & (F.col("print") == F.col("rep_print"))).groupBy("id", "component", "n_docs").agg(F.min("text").alias("text"))
     dealt = paired_blocks(members, ["component"], "id", block, F.octet_length("text"), BLOCK_BYTES)
@@ -193,15 +173,3 @@ def joined(documents: DataFrame, k: int = 5, threshold: float = 0.8, tolerance:
     class_id = F.coalesce("class_id", "doc_id")
     out = out.select("doc_id", class_id.alias("class_id"), F.coalesce(F.col("n_docs") - 1 + F.coalesce("n", F.lit(0)), F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", class_id).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
-
-
-def _groups(classes: DataFrame, threshold: float, tolerance: float) -> DataFrame:
-    """(id, component): classes, by node, that pairs of candidates connect. Only keys and sketches move."""
-    bands = classes.select("node", F.explode("keys").alias("key"))
-    held = bands.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least"), F.expr("bit_xor(xxhash64(node))").alias("set")).where("n > 1")
-    once = held.groupBy("n", "least", "set").agg(F.min("key").alias("key")).select("key", "n")
-    met = bands.join(once, "key").join(classes.select("node", "sketch"), "node")
-    blocks = F.ceil(F.col("n") / MET).cast("int")
-    met = met.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    met = met.select("key", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "node", "sketch")
-    return components(by_groups(met, ["key", "bi", "bj"], _candidates(threshold, tolerance), "id long, root long"), "id", "root")

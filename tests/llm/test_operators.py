@@ -17,6 +17,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.llm import chat, decontam, embedding_dedup, graph, langid, licences, mixing, near_dup, ngram_lm, queries, secrets, warc_zip
+from tessella.llm.blocks import keyed_candidates
 from tessella.llm.common import crc_mod, forest, shingle_sets, words_of
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, id long, block string, h long, n int"
@@ -394,7 +395,7 @@ def test_a_family_below_the_threshold_moves_no_texts(spark):
     sketches = texts.withColumn("print", F.lit(0).cast("long")).mapInArrow(near_dup._sketches(5), near_dup.SKETCH)
     classes = sketches.withColumn("node", F.xxhash64("h1", "h2"))
     shared = classes.select(F.explode("keys").alias("key")).groupBy("key").count().where("count > 1").count()
-    assert shared > 20 and near_dup._groups(classes, 0.8, 1e-6).count() == 0
+    assert shared > 20 and keyed_candidates(classes, near_dup._candidates(0.8, 1e-6), 4096).count() == 0
 
 
 def test_pruning_bound():
@@ -585,6 +586,32 @@ def test_embeddings_against_all_pairs(spark, block):
     assert embedding_dedup.deduplicated(vectors.limit(0)).count() == 0
 
 
+def test_embeddings_of_equal_vectors_and_ids_with_several(spark):
+    rng = np.random.default_rng(4)
+    a, b, c = rng.normal(size=(3, 8)).tolist()
+    rows = [*((i, a, 1) for i in range(50)), (60, a, 2), (70, b, 1), (70, c, 1), (71, b, 1), (72, c, 1), (70, b, 1)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.deduplicated(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {i: (49, 0) for i in range(50)} | {60: (0, 60), 70: (2, 70), 71: (1, 70), 72: (1, 70)}
+
+
+def test_embedding_tables_meet_few_pairs_and_most_near_ones():
+    n, d, gap = 20_000, 64, math.sqrt(2 - 2 * 0.93)
+    tables, each = embedding_dedup.layout(n, gap, 0.999)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(n, d))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    side = rng.normal(size=(500, d))
+    side -= (side * x[:500]).sum(axis=1)[:, None] * x[:500]
+    near = 0.93 * x[:500] + math.sqrt(1 - 0.93**2) * side / np.linalg.norm(side, axis=1)[:, None]
+    made = embedding_dedup._sketches(gap, 2.0, 48, tables, each, 11)
+    flat = np.concatenate((x, near))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(np.zeros(len(flat), np.int64)), pa.array(list(flat), pa.list_(pa.float64()))], ["node", "salt", "embedding"])
+    keys = np.array(next(iter(made([batch]))).column("keys").to_pylist())
+    assert (keys[:500] == keys[n:]).any(axis=1).mean() >= 0.99
+    met = sum(int((m * (m - 1) // 2).sum()) for m in (np.unique(keys[:n, t], return_counts=True)[1] for t in range(tables)))
+    assert met < 0.1 * n * (n - 1) / 2
+
+
 def test_embedding_recall_on_the_given_table(spark):
     table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").collect()
     got = {r.vec_id: r.n_links for r in queries.op9_embedding_dedup(spark, "/root/testdata/sf0.01").collect()}

@@ -8,6 +8,7 @@ import math
 import random
 import re
 import struct
+import time
 import zipfile
 import zlib
 
@@ -505,6 +506,20 @@ def test_tiles_against_all_places():
         assert decontam.tiles(item, doc, least) == brute_tiles(item, doc, least)
 
 
+def test_tiles_of_repeated_words_end_soon():
+    began = time.time()
+    assert decontam.tiles([1] * 60, [1] * 200_000, 5) == [(0, 0, 60)]
+    assert decontam.tiles([*range(40)] + [1] * 20, [1] * 100_000, 5) == [(40, 0, 20)]
+    assert time.time() - began < 30
+
+
+def test_a_seed_of_many_items(spark):
+    common = "these five words begin all items"
+    items = spark.createDataFrame([(i, f"{common} then item {i} goes on with a{i} b{i} c{i} d{i}") for i in range(300)], "item_id long, text string")
+    rows = [(1, f"{common} " * 50), (2, f"{common} then item 7 goes on with a7 b7 c7 d7"), (3, common)]
+    assert [(r.doc_id, r.item_id) for r in decontam.matched(docs(spark, rows), items, threshold=0.9).collect()] == [(2, 7)]
+
+
 def test_decontamination(spark):
     item = " ".join(f"w{i}" for i in range(24))
     w = item.split()

@@ -261,7 +261,7 @@ def brute_cost(value):
     return best(0, False)
 
 
-@pytest.mark.parametrize("value", ["password", "Passw0rd2019", "aaaaaa", "abcabcabc", "qwerty12345", "x7$Kq9", "2020-01-31zz", "dragonXq", "", "zaq1"])
+@pytest.mark.parametrize("value", ["password", "Passw0rd2019", "aaaaaa", "abcabcabc", "qwerty12345", "x7$Kq9", "2020-01-31zz", "dragonXq", "", "zaq1", "aaaadmin", "xqwertyui", "abcdeabcdeabcde1"])
 def test_guess_cost_against_all_segmentations(value):
     assert secrets.guess_cost(value) == pytest.approx(brute_cost(value))
 
@@ -272,6 +272,15 @@ def test_guess_cost_orders_and_long_values():
     assert cost("ab3" * 20_000) < 12
 
 
+def test_words_are_learned_from_prose_but_not_from_values(spark):
+    rows = [(1, "An intricate plan, complicated beyond words."), (2, "the secret is complicated, the token is intricate"), (3, "token is zqxjvkwpyhbf"), (4, None)]
+    ranks = secrets.ranked(docs(spark, rows))
+    assert {"complicated", "intricate", "beyond"} <= ranks.keys() and "zqxjvkwpyhbf" not in ranks
+    got = {r.doc_id: r.spans for r in secrets.scanned(docs(spark, rows)).collect()}
+    assert got == {1: "", 2: "", 3: "guess:9:21", 4: ""}
+    assert secrets.ranked(docs(spark, rows).limit(0)) == secrets.WORDS
+
+
 def test_redaction_keeps_rows_and_columns(spark):
     given = docs(spark, [(1, "x password=abcdefgh1Zq9 y"), (2, None), (3, "plain")])
     got = secrets.redacted(given)

@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or where that is unset (tests) a folder of our own; checkpoint() works after this."""
+    """spark.checkpoint.dir, or where that is unset a folder of our own if all runs in one process, else an error; checkpoint() works after this."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if not base:
         found = context._jsc.sc().getCheckpointDir()
         if found.isEmpty():
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="tessella-"))
             found = context._jsc.sc().getCheckpointDir()
         base = found.get()

@@ -94,11 +94,14 @@ def word_counts(documents: DataFrame) -> DataFrame:
 
 
 def ranked(documents: DataFrame) -> dict[str, int]:
-    """Ranks of the VOCABULARY most frequent words, and those of the fixed list."""
+    """Ranks of the most frequent words, and those of the fixed list: all words from the least count on, of some steps, that VOCABULARY words at most reach."""
     with arrow_rows(documents.sparkSession, 2000):
         words = written(word_counts(documents), "words")
-    rows = words.orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
-    return {r.word: i for i, r in enumerate(rows, 1)} | WORDS
+    steps = sorted({int(2 ** (k / 4)) for k in range(200)})
+    many = words.agg(*(F.count_if(F.col("n") >= t) for t in steps)).first()
+    least = next(t for t, n in zip(steps, many, strict=True) if n <= VOCABULARY)
+    rows = words.where(F.col("n") >= least).collect()
+    return {r.word: i for i, r in enumerate(sorted(rows, key=lambda r: (-r.n, r.word)), 1)} | WORDS
 
 
 def _runs(i: int, j: int, least: int) -> Iterator[tuple[int, int]]:

@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from .common import slices
 
 UNKNOWN = "und"
+#: What can be told of each text.
+TOLD = {"lang_pred": "string", "score": "double", "certainty": "double"}
 WIDTHS = (2, 3, 4)
 
 
@@ -59,6 +61,11 @@ class Network:
         return np.concatenate(out) if out else np.zeros((0, len(self.languages)), np.float32)
 
 
+def softmax(x: np.ndarray) -> np.ndarray:
+    p = np.exp(x - x.max(axis=1, keepdims=True))
+    return p / p.sum(axis=1, keepdims=True)
+
+
 def windows(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
     """All windows of the texts, one after another, the last of each padded with 0; the number of windows of each text."""
     n = np.array([-(-len(t) // length) for t in texts], np.int64)
@@ -123,55 +130,63 @@ def sampled(labelled: DataFrame, per_language: int, spots: int, window: int) ->
 
 
 def least_score(net: Network, rows: list[tuple[bytes, str]], share: float = 0.001, least_rows: int = 20) -> float:
-    """The score below which a text is in none of the languages, from windows that were not learned from.
+    """The certainty below which a text is in none of the languages, from windows that were not learned from.
 
-    Certainty is how far a score is from 1 / languages, the least there is, to 1. The limit lies a tenth below that which all but `share` of
-    the windows reach. It is 0, so that nothing is rejected, where nothing can be told: one language only, or too few windows.
+    It is counted from 1 / languages, the least there is, to 1. The limit lies a tenth below that which all but `share` of the windows reach. It is 0, so that nothing is rejected, where nothing can be told: one language only, or too few windows.
     """
     floor = 1 / len(net.languages)
     known = [t for t, lang in rows if lang in net.languages]
     if floor == 1 or len(known) < least_rows:
         return 0.0
     x, _ = windows([t[: net.window].ljust(net.window, b"\0") for t in known], net.window)
-    out = net.logits(x, net.pairs())
-    p = np.exp(out - out.max(axis=1, keepdims=True))
-    certain = ((p / p.sum(axis=1, keepdims=True)).max(axis=1) - floor) / (1 - floor)
+    certain = (softmax(net.logits(x, net.pairs())).max(axis=1) - floor) / (1 - floor)
     return float(floor + (1 - floor) * 0.9 * np.quantile(certain, share))
 
 
-PREDICTED = "doc_id long, lang_pred string, score double"
-
-
 def predicted(documents: DataFrame, net: Network | None) -> DataFrame:
     """(doc_id, lang_pred, score) per row."""
-    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_predictor(net, lambda b: [b.column("doc_id")]), PREDICTED)
+    return tagged(documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), net).select("doc_id", "lang_pred", "score")
 
 
 def tagged(documents: DataFrame, net: Network | None) -> DataFrame:
     """The same rows and columns with lang_pred and score after them."""
-    names = [c for c in documents.columns if c not in ("lang_pred", "score")]
-    schema = documents.select(*names).schema.add("lang_pred", "string").add("score", "double")
-    return documents.select(*names).mapInArrow(_predictor(net, lambda b: b.columns), schema)
+    return _told(documents, net, ("lang_pred", "score"))
+
+
+def assessed(documents: DataFrame, net: Network | None) -> DataFrame:
+    """tagged(), with certainty after score: how sure the windows of a text are of their languages, each of its own.
+
+    It is the mean of their best probabilities by bytes, 0 where nothing can be told. A text of two learned languages has a low score, that
+    of the language that the whole of it is likeliest in, but is certain.
+    """
+    return _told(documents, net, ("lang_pred", "score", "certainty"))
+
+
+def _told(documents: DataFrame, net: Network | None, told: tuple[str, ...]) -> DataFrame:
+    names = [c for c in documents.columns if c not in told]
+    schema = documents.select(*names).schema
+    for name in told:
+        schema = schema.add(name, TOLD[name])
+    return documents.select(*names).mapInArrow(_predictor(net, told), schema)
 
 
-def _predictor(net: Network | None, kept):  # noqa: ANN001, ANN202
+def _predictor(net: Network | None, told: tuple[str, ...]):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = net.pairs() if net else None
         for batch in slices(batches, "text", 1 << 20):
             texts = pc.fill_null(batch.column("text"), "").to_pylist()
-            lang, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
+            lang, score, certainty = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
             known = [i for i, t in enumerate(texts) if net and any(map(str.isalpha, t))]
             if known:
                 data = [texts[i].encode() for i in known]
                 x, n = windows(data, net.window)
-                own = net.logits(x, pairs) * (x != 0).sum(axis=1, keepdims=True)
-                total = np.add.reduceat(own, np.cumsum(n) - n) / np.array([len(d) for d in data])[:, None]
-                p = np.exp(total - total.max(axis=1, keepdims=True))
-                p /= p.sum(axis=1, keepdims=True)
-                for i, best, s in zip(known, p.argmax(axis=1), p.max(axis=1), strict=True):
-                    lang[i], score[i] = net.languages[best], min(1.0, float(s))
-            columns = [*kept(batch), pa.array(lang, pa.string()), pa.array(score)]
-            names = [*(batch.schema.names if len(columns) > 3 else ["doc_id"]), "lang_pred", "score"]
-            yield pa.RecordBatch.from_arrays(columns, names)
+                size, first, length = (x != 0).sum(axis=1, keepdims=True), np.cumsum(n) - n, np.array([len(d) for d in data])
+                own = net.logits(x, pairs)
+                p = softmax(np.add.reduceat(own * size, first) / length[:, None])
+                sure = np.add.reduceat(softmax(own).max(axis=1) * size[:, 0], first) / length
+                for i, best, s, c in zip(known, p.argmax(axis=1), p.max(axis=1), sure, strict=True):
+                    lang[i], score[i], certainty[i] = net.languages[best], min(1.0, float(s)), min(1.0, float(c))
+            found = {"lang_pred": pa.array(lang, pa.string()), "score": pa.array(score), "certainty": pa.array(certainty)}
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(found[c] for c in told)], [*batch.schema.names, *told])
 
     return run

@@ -1,7 +1,9 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tessella.operators import fusion, lexical, metrics, pack, vector
+from tessella.plans import catalogue
 
 DOCS = [("a.py", "alpha alpha beta"), ("b.py", "alpha beta beta beta"), ("c.py", "gamma")]
 
@@ -59,3 +61,40 @@ def test_metrics_are_null_where_they_do_not_apply(spark):
     relevant = spark.createDataFrame([("q", "b"), ("q", "c"), ("s", "a")], "query string, item string")
     rows = {r.query: tuple(r)[1:] for r in metrics.evaluated(ranked, relevant, "query", "item", 2).collect()}
     assert rows == {"q": (0.5, 0.5, 1.0), "r": (None, None, None), "s": (0.0, 0.0, 0.0)}
+
+
+def odd_vectors():
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.integers(-3, 4, 4).tolist(), int(i % 7) if i % 11 else None) for i in range(400)]
+    rows += [(400 + i, rows[i % 3][1], i % 7) for i in range(130)]  # many copies of three vectors
+    rows += [(1000, [0] * 4, 1), (1001, [0] * 4, 1), (1002, [float("nan"), 1, 1, 1], 1), (1003, [float("inf"), 1, 1, 1], 3), (1100, None, 2), (1101, None, 2), (1200, [1, 1, 1, 1], None), (1300, [1, 1, 1, 1], 99), (None, [1, 2, 3, 4], 1), (-100, [3, 1, 0, 0], 5)]
+    rows += [(200, [1, 2, 3, -1], 3), (200, [1, 2, 3, -1], 4), (307, [2, 2, 0, 1], 6), (401, None, None)]  # ids of several rows
+    return [(i, e and [float(v) for v in e], x) for i, e, x in rows]
+
+
+def test_evaluation_of_odd_vectors_equals_sql(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    spark.createDataFrame(odd_vectors(), "vec_id long, embedding array<float>, label int").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    for name in ("q_eval_means",):
+        df = catalogue.QUERIES[name](spark, str(tmp_path))
+        wanted = c.execute(catalogue.ORACLES[name])
+        order = [d[0] for d in wanted.description]
+        assert sorted(map(repr, (tuple(r) for r in df.select(*order).collect()))) == sorted(map(repr, wanted.fetchall()))
+
+
+def test_evaluation_makes_no_rows_of_all_pairs(spark):
+    for name in ("q_eval_means",):
+        plan = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_nearest_in_parts(spark):
+    vectors = spark.createDataFrame([r[:2] for r in odd_vectors()], "item long, embedding array<double>").repartition(5)
+    asked = vectors.where("item % 10 = 0").select(F.col("item").alias("query"), F.col("embedding").alias("q"))
+    got = [sorted(map(repr, vector.nearest(vectors, asked, 7, size).collect())) for size in (1 << 20, 300)]
+    assert got[0] == got[1] and len(got[0]) == 7 * asked.select("query").distinct().count()
+    assert vector.nearest(vectors, asked.limit(0), 7).count() == 0 and vector.nearest(vectors.limit(0), asked, 7).count() == 0
+    long = asked.limit(1).select("query", F.array(*map(F.lit, (1.0, 2.0))).alias("q"))
+    assert {r.score for r in vector.nearest(vectors, long, 3).collect()} == {None}

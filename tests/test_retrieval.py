@@ -77,7 +77,7 @@ def test_evaluation_of_odd_vectors_equals_sql(spark, tmp_path):
     spark.createDataFrame(odd_vectors(), "vec_id long, embedding array<float>, label int").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
     c = duckdb.connect()
     c.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
-    for name in ("q_eval_means",):
+    for name in ("q_eval_metrics", "q_eval_means"):
         df = catalogue.QUERIES[name](spark, str(tmp_path))
         wanted = c.execute(catalogue.ORACLES[name])
         order = [d[0] for d in wanted.description]
@@ -85,7 +85,7 @@ def test_evaluation_of_odd_vectors_equals_sql(spark, tmp_path):
 
 
 def test_evaluation_makes_no_rows_of_all_pairs(spark):
-    for name in ("q_eval_means",):
+    for name in ("q_eval_metrics", "q_eval_means"):
         plan = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 

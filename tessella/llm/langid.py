@@ -4,7 +4,7 @@ One-hot bytes go through filters of widths 2, 3 and 4, rectified and pooled by t
 layer reads the pooled values. A text is the mean of its windows' logits, weighted by their bytes.
 
 Training reads a bounded sample of labelled rows: `per_language` documents of each language, those whose ids hash lowest, and `spots`
-windows of each. Prediction reads every byte of every text. Nulls: a null text, or one without a letter, is `und` with score 0; rows
+windows of each. Prediction reads every byte of every text, and so does the limit of certainty of every labelled text it is given. Nulls: a null text, or one without a letter, is `und` with score 0; rows
 with a null language or text aren't learned from. Without anything to learn from every text is `und`. Repeated rows give a row each;
 an empty table gives none; other columns are ignored.
 """
@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, written
 
 UNKNOWN = "und"
 #: What can be told of each text.
@@ -129,18 +129,43 @@ def sampled(labelled: DataFrame, per_language: int, spots: int, window: int) ->
     return [(r.t.encode(), r.lang) for r in rows]
 
 
-def least_score(net: Network, rows: list[tuple[bytes, str]], share: float = 0.001, least_rows: int = 20) -> float:
-    """The certainty below which a text is in none of the languages, from windows that were not learned from.
+def least_certainty(labelled: DataFrame, net: Network, share: float = 0.001, least_rows: int = 20) -> float:
+    """The certainty below which a text is in none of the languages, from all whole windows of all labelled texts given, which should not be learned from.
 
-    It is counted from 1 / languages, the least there is, to 1. The limit lies a tenth below that which all but `share` of the windows reach. It is 0, so that nothing is rejected, where nothing can be told: one language only, or too few windows.
+    It is counted from 1 / languages, the least there is, to 1. The limit lies a tenth below that which all but `share` of the windows reach,
+    an exact order statistic: windows are counted by certainty, then by range of it, and the driver sees the ranges and the values of one of
+    them. It is 0, so that nothing is rejected, where nothing can be told: one language only, or too few windows.
     """
     floor = 1 / len(net.languages)
-    known = [t for t, lang in rows if lang in net.languages]
-    if floor == 1 or len(known) < least_rows:
+    if floor == 1:
         return 0.0
-    x, _ = windows([t[: net.window].ljust(net.window, b"\0") for t in known], net.window)
-    certain = (softmax(net.logits(x, net.pairs())).max(axis=1) - floor) / (1 - floor)
-    return float(floor + (1 - floor) * 0.9 * np.quantile(certain, share))
+    known = labelled.where(F.col("lang").isin(net.languages) & (F.octet_length("text") >= net.window) & F.col("text").rlike("\\p{L}")).select("text")
+    seen = known.mapInArrow(_certainties(net), "value float, n long").groupBy("value").agg(F.sum("n").alias("n"))
+    counts = written(seen.withColumn("span", F.floor(F.col("value") * 65536)), "certainties")
+    spans = counts.groupBy("span").agg(F.sum("n").alias("n")).orderBy("span").collect()
+    total = sum(r.n for r in spans)
+    if total < least_rows:
+        return 0.0
+    before, rank = 0, int(share * (total - 1))
+    for r in spans:
+        if before + r.n > rank:
+            break
+        before += r.n
+    values = counts.where(F.col("span") == r.span).orderBy("value").collect()
+    at = np.searchsorted(np.cumsum([v.n for v in values]), rank - before, "right")
+    return float(floor + 0.9 * max(values[at].value - floor, 0.0))
+
+
+def _certainties(net: Network):  # noqa: ANN202
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = net.pairs()
+        for batch in slices(batches, "text", 1 << 20):
+            data = [t.encode() for t in batch.column("text").to_pylist()]
+            x, _ = windows([t[: len(t) // net.window * net.window] for t in data], net.window)
+            values, n = np.unique(softmax(net.logits(x, pairs)).max(axis=1).astype(np.float32), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(n.astype(np.int64))], ["value", "n"])
+
+    return run
 
 
 def predicted(documents: DataFrame, net: Network | None) -> DataFrame:

@@ -581,6 +581,17 @@ def test_language_id_odd_texts(spark):
     assert langid.sampled(docs(spark, [(1, None, "x"), (2, "a", None), (3, "1", "x")]), 8, 2, 64) == []
 
 
+def test_language_limit_is_of_all_held_out_windows(spark):
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(3)
+    rows = [(r.text.encode(), r.lang, zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in documents.where("lang IS NOT NULL AND text RLIKE '\\\\p{L}'").orderBy("doc_id").collect()]
+    net = langid.trained([r[:2] for r in rows if not r[2]], 256, epochs=4)
+    cut = [t[i : i + 256] for t, _, held in rows if held for i in range(0, len(t) - 255, 256)]
+    certain = np.sort(langid.softmax(net.logits(langid.windows(cut, 256)[0], net.pairs())).max(axis=1))
+    assert len(cut) > 2000 and queries.language_limit(documents, net) == pytest.approx(0.25 + 0.9 * (certain[(len(cut) - 1) // 1000] - 0.25), abs=1e-6)
+    assert langid.least_certainty(documents, net, share=0.5) > queries.language_limit(documents, net)
+    assert langid.least_certainty(documents.where("length(text) < 100"), net) == 0 == langid.least_certainty(documents.limit(0), net)
+
+
 def test_pooling_by_pairs_is_the_convolution():
     net = langid.trained([(b"ab cd", "x"), (b"ef gh", "y")], 16, epochs=1)
     x = np.random.default_rng(2).integers(0, 256, (5, 16)).astype(np.uint8)

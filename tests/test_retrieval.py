@@ -98,3 +98,45 @@ def test_nearest_in_parts(spark):
     assert vector.nearest(vectors, asked.limit(0), 7).count() == 0 and vector.nearest(vectors.limit(0), asked, 7).count() == 0
     long = asked.limit(1).select("query", F.array(*map(F.lit, (1.0, 2.0))).alias("q"))
     assert {r.score for r in vector.nearest(vectors, long, 3).collect()} == {None}
+
+
+def test_nearest_of_close_cosines_equals_double(spark):
+    """Cosines that single precision doesn't tell apart, and copies beyond k, rank as in double precision."""
+    rng = np.random.default_rng(8)
+    centre = rng.normal(size=48)
+    x = np.concatenate((centre + 3e-3 * rng.normal(size=(900, 48)), -centre + rng.normal(size=(900, 48)), np.repeat(centre[None], 700, axis=0)))
+    rows = [(int(i), v.tolist()) for i, v in zip(rng.permutation(len(x)), x, strict=True)]
+    vectors = spark.createDataFrame(rows, "item long, embedding array<double>").repartition(3)
+    asked = vectors.where("item % 50 = 0").select(F.col("item").alias("query"), F.col("embedding").alias("q"))
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, v in rows}
+    ids = np.array(sorted(unit))
+    all_units = np.array([unit[i] for i in ids])
+    wanted = {}
+    for i in ids[ids % 50 == 0]:
+        score = np.round(np.einsum("ij,j->i", all_units, unit[i]), 6)
+        order = [j for j in np.lexsort((ids, -score)) if ids[j] != i][:40]
+        wanted[i] = [(int(ids[j]), float(score[j])) for j in order]
+    got = {}
+    for r in vector.nearest(vectors, asked, 40).orderBy("query", "rank").collect():
+        got.setdefault(r.query, []).append((r.item, r.score))
+    assert got == wanted
+
+
+def test_nearest_computes_few_pairs_in_double():
+    rng = np.random.default_rng(9)
+    ids, x = np.arange(64), rng.normal(size=(64, 32))
+    state = np.zeros(64)
+    best, doubles = vector._Best(ids, *vector._unit(x, state), 10), []
+
+    class Watched(np.ndarray):
+        def __array_ufunc__(self, ufunc, method, *inputs, **kw):
+            if ufunc is np.matmul:
+                doubles.append(self.dtype)
+            return getattr(ufunc, method)(*(np.asarray(i) for i in inputs), **kw)
+
+    best.x = best.x.view(Watched)
+    for start in range(1000, 41000, 1000):
+        y, own = vector._unit(rng.normal(size=(1000, 32)), np.zeros(1000))
+        items = np.arange(start, start + 1000)
+        best.add(items, np.arange(1000), y, y.astype(np.float32), own)
+    assert not doubles and best.n < 64 * 30

@@ -48,6 +48,8 @@ SLICE = 2 << 20
 PASSES = 2
 #: Contexts, of a level, whose sums are brought to the driver at most: a context is frequent from 1 / MOST_FREQUENT of all training tokens on.
 MOST_FREQUENT = 10_000
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 256
 START, END = "\n", ""  # no word is spelt so
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 BLOCKS = "block string, ids binary, nulls binary, train binary, ends binary, words binary, tokens binary"
@@ -68,6 +70,45 @@ def unpacked(b: bytes, dtype: str) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(width, -1).T).reshape(-1).view(dtype)
 
 
+def word_keys(words: pa.Array) -> np.ndarray:
+    """64-bit hashes of words that are not null, eight bytes of all at a time."""
+    wide = pa.types.is_large_string(words.type)
+    at = np.frombuffer(words.buffers()[1], np.int64 if wide else np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64) if len(words) else np.zeros(1, np.int64)
+    data = np.concatenate((np.frombuffer(words.buffers()[2] or b"", np.uint8)[at[0] : at[-1]], np.zeros(8, np.uint8)))
+    eights = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+    at, size = at - at[0], np.diff(at)
+    with np.errstate(over="ignore"):
+        out = mix((size.astype(np.uint64) + np.uint64(1)) * GOLDEN)
+        left, step = np.flatnonzero((size > 0) & (size <= LONG_WORD)), 0
+        while len(left):
+            unused = np.maximum(8 - size[left] + step, 0).astype(np.uint64) * np.uint64(8)
+            out[left] = mix(out[left] * GOLDEN + (eights[at[left] + step] << unused))
+            step += 8
+            left = left[size[left] > step]
+    for i in np.flatnonzero(size > LONG_WORD):
+        out[i] = hashes([data[at[i] : at[i + 1]].tobytes()])[0]
+    return out
+
+
+def distinct(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """np.unique() and its inverse of codes of two numbers, high and low half; small ones are sorted together with their places, which is faster."""
+    n = len(codes)
+    high, low = codes >> np.uint64(32), codes & np.uint64(0xFFFFFFFF)
+    a, b, c = (int(x).bit_length() for x in (high.max(initial=0), low.max(initial=0), n))
+    if a + b + c > 64:
+        values, index = np.unique(codes, return_inverse=True)
+        return values, index.astype(np.int32)
+    x = np.sort(high << np.uint64(b + c) | low << np.uint64(c) | np.arange(n, dtype=np.uint64))
+    place = (x & np.uint64((1 << c) - 1)).astype(np.int64)
+    x >>= np.uint64(c)
+    first = _firsts(x)
+    new = np.zeros(n, np.int32)
+    new[first[1:]] = 1
+    index = np.empty(n, np.int32)
+    index[place] = np.cumsum(new, dtype=np.int32)
+    return codes[place[first]], index
+
+
 class Discounts:
     """Good-Turing ratios d(1..K) from the counts of counts n(1..K+1), and one for a text that frees no mass otherwise."""
 
@@ -102,12 +143,12 @@ class Words:
         return np.log10((counts + 0.5) / (self.total + 0.5 * (self.distinct + 1)))
 
 
-def backoff(counts: np.ndarray, sums: np.ndarray, d: Discounts) -> tuple[np.ndarray, np.ndarray]:
-    """(free, scale) of contexts: their counts, how many of their n-grams occur r = 1..K times.
+def backoff(counts: np.ndarray, freed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(free, scale) of contexts: their counts, and how many of these the discounts of their n-grams free.
 
     A context whose counts free nothing gives up 1 / (count + 1) of its mass, all its n-grams being scaled.
     """
-    free = (sums * d.freed[1:]).sum(axis=1) / np.maximum(counts, 1)
+    free = freed / np.maximum(counts, 1)
     return np.where(free > 0, free, 1 / (counts + 1.0)), np.where(free > 0, 1.0, counts / (counts + 1.0))
 
 
@@ -176,20 +217,21 @@ def asked(codes: np.ndarray, below: Level, ids: np.ndarray, buckets: int, freque
 
 
 def dealt(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    b = (h % np.uint64(buckets)).astype(np.int32)
+    b = (h % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.int32)  # 16 bits are sorted by radix
     order = np.argsort(b, kind="stable")
     return order, np.searchsorted(b[order], np.arange(buckets + 1))
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    end = hashes([END])[0]
+    end = word_keys(pa.array([END]))[0]
     parts: list[tuple] = []
     size = 0
 
     def block() -> pa.RecordBatch:
         ids, nulls, train, lengths, tokens = (np.concatenate(x) for x in zip(*parts, strict=True))
-        words, index, counts = np.unique(tokens, return_inverse=True, return_counts=True)
-        by = np.argsort(-counts, kind="stable")  # frequent words first, equally frequent ones by hash
+        coded = pa.array(tokens).dictionary_encode()
+        words, index = coded.dictionary.to_numpy(), coded.indices.to_numpy()
+        by = np.lexsort((words, -np.bincount(index, minlength=len(words))))  # frequent words first, equally frequent ones by hash
         place = np.empty(len(by), np.uint32)
         place[by] = np.arange(len(by))
         arrays = (ids.astype("<i8"), nulls.astype("u1"), train.astype("u1"), np.cumsum(lengths).astype("<i8"), np.diff(words[by], prepend=np.uint64(0)), place[index])
@@ -197,9 +239,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in slices(batches, "text", SLICE):
         flat, at = words_of(batch.column("text"))
-        coded = flat.dictionary_encode()
-        table = hashes(coded.dictionary.to_pylist())
-        tokens = table[coded.indices.to_numpy(zero_copy_only=False)] if len(table) else np.zeros(0, np.uint64)
+        tokens = word_keys(flat)
         own = batch.column("id")
         parts.append((own.fill_null(0).to_numpy(), own.is_null().to_numpy(zero_copy_only=False), batch.column("train").to_numpy(zero_copy_only=False), np.diff(at) + 1, np.insert(tokens, at[1:], end)))
         size += len(tokens) + batch.num_rows
@@ -288,7 +328,7 @@ class Known:
     def level(self, b: Block, row: dict) -> tuple[Level, np.ndarray]:
         """The block's n-grams of the longest length known; ids of its words, which are sorted by them now."""
         ids, counts = _words_of(b, row["answers"], self.word_buckets)
-        end = int(np.flatnonzero(b.words == hashes([END])[0])[0])
+        end = int(np.flatnonzero(b.words == word_keys(pa.array([END]))[0])[0])
         starts = counts[end]  # as many starts as ends
         order = np.argsort(ids)
         place = np.empty(len(ids), np.int32)
@@ -302,28 +342,31 @@ class Known:
         return out, ids
 
     def _longer(self, b: Block, before: Level | None, below: Level, ids: np.ndarray, answers: list[dict], n: int, d: Discounts, shared: tuple) -> Level:
-        codes, index = np.unique(b.grams(below), return_inverse=True)
-        index = index.astype(np.int32)
+        codes, index = distinct(b.grams(below))
         own, v, w, order, starts, parts = asked(codes, below, ids, self.buckets(n), self.frequent)
         total = np.zeros(len(codes), np.int64)
-        sums, seen = np.zeros((len(below.ofcontext), K), np.int64), np.zeros((len(below.ofcontext), K + 1), np.int64)
+        freed, mass = np.zeros(len(below.ofcontext)), np.zeros(len(below.ofcontext))
+        smaller = self.discounts[n - 3] if n > 2 else self.model.d
+        some_freed = ((np.arange(1 << K)[:, None] >> np.arange(K) & 1) * d.freed[1:]).sum(axis=1)
+
+        def put(context: np.ndarray, sums: np.ndarray, seen: np.ndarray) -> None:
+            freed[context] = (sums * d.freed[1:]).sum(axis=1)
+            mass[context] = (seen[:, :K] * (np.arange(1, K + 1) * smaller.ratio[1:])).sum(axis=1) + seen[:, K]
+
         for a in answers:
             at = order[starts[a["bucket"]] : starts[a["bucket"] + 1]]
             total[own[at]] = unpacked(a["counts"], "<u4")
             context = v[at[_firsts(v[at])]]
-            sums[context] = unpacked(a["held"], "u1")[:, None] >> np.arange(K) & 1  # where nothing backs off it is enough to know which are there
-            context = context[unpacked(a["backs"], "u1") > 0]
-            sums[context], seen[context] = _table(a["sums"], K), _table(a["seen"], K + 1)
+            freed[context] = some_freed[unpacked(a["held"], "u1")]  # where nothing backs off it is enough to know which are there
+            put(context[unpacked(a["backs"], "u1") > 0], _table(a["sums"], K), _table(a["seen"], K + 1))
         keys, some, more = shared
         split = np.flatnonzero(parts > 1)
         if len(split) and len(keys):
-            wanted = below.keys()[split]
+            wanted = context_keys([c[split] for c in below.columns])
             at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
             hit = keys[at] == wanted  # the end is no context
-            sums[split[hit]], seen[split[hit]] = some[at[hit]], more[at[hit]]
-        smaller = self.discounts[n - 3] if n > 2 else self.model.d
-        mass = (seen[:, :K] * (np.arange(1, K + 1) * smaller.ratio[1:])).sum(axis=1) + seen[:, K]
-        free, scale = backoff(below.ofcontext, sums, d)
+            put(split[hit], some[at[hit]], more[at[hit]])
+        free, scale = backoff(below.ofcontext, freed)
         alpha = np.where(below.ofcontext > 0, free / np.maximum(1 - below.lower * mass, 1e-300), 1.0)
         context = (codes >> np.uint64(32)).astype(np.int32)
         p = np.empty(len(codes))
@@ -348,7 +391,7 @@ def _ask_grams(known: Known, part: int = 0, parts_of: int = 1):  # noqa: ANN202
             for row in batch.to_pylist():
                 b = Block(row)
                 below, ids = known.level(b, row)
-                codes, index = np.unique(b.grams(below), return_inverse=True)
+                codes, index = distinct(b.grams(below))
                 train = np.bincount(index[b.trained], minlength=len(codes))
                 lower = np.zeros(len(codes), np.int64)
                 lower[index[b.trained]] = below.counts[below.index[b.trained]]

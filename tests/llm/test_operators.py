@@ -215,6 +215,28 @@ def test_katz_of_other_orders(spark, monkeypatch, order, frequent):
         assert got[i] == pytest.approx(sum(math.log10(model.p(g[:-1], g[-1])) for g in model.grams(t, order)), abs=1e-9)
 
 
+def test_katz_word_keys():
+    words = ["", "a", "b", "ab", "a\0", "a\0\0", "abcdefg", "abcdefgh", "abcdefghi", "héllo", "日本語の文", "x" * 255, "x" * 256, "x" * 257, "x" * 256 + "y", "y" * 256 + "x"]
+    words += [f"w{i}" for i in range(3000)] + [f"a-long-prefix-{i}-and-an-end" for i in range(3000)]
+    keys = ngram_lm.word_keys(pa.array(words))
+    assert len(set(keys.tolist())) == len(words)
+    for kind in (pa.string(), pa.large_string()):
+        for lo, hi in ((0, 1), (5, 12), (3000, 3005), (7, 7)):
+            assert (ngram_lm.word_keys(pa.array(words, kind).slice(lo, hi - lo)) == keys[lo:hi]).all()
+    assert (ngram_lm.word_keys(pa.array(words[::-1])) == keys[::-1]).all()
+
+
+@pytest.mark.parametrize("high", [1, 1 << 20, 1 << 32])
+def test_katz_distinct_codes(high):
+    rng = np.random.default_rng(high)
+    for n in (0, 1, 5000):
+        codes = rng.integers(0, high, n).astype(np.uint64) << np.uint64(32) | rng.integers(0, min(high, 50), n).astype(np.uint64)
+        codes = codes[rng.integers(0, n, n)] if n else codes
+        values, index = np.unique(codes, return_inverse=True)
+        got = ngram_lm.distinct(codes)
+        assert (got[0] == values).all() and (got[1] == index).all() and got[0].dtype == np.uint64
+
+
 def test_katz_without_rows_or_training(spark):
     assert ngram_lm.scored(docs(spark, [(1, "a")]).limit(0), F.lit(True))[0].count() == 0
     row = ngram_lm.scored(docs(spark, [(1, "a b")]), F.lit(True))[0].first()
